@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
+from .piece_bpe import encode_decode
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,6 +52,23 @@ kept AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE f.key IS NOT
 ORACLES["op4_line_dedup"] = f"WITH {LINES_SQL.format(documents='documents')} SELECT doc_id, n_lines, n_dropped, sha256(text) AS kept_sha256 FROM kept"
 
 
+def tokenizer(name: str) -> str:
+    """The path of a public tokenizer file; $GRAPHLOOM_TOKENIZERS names another folder."""
+    if folder := os.environ.get("GRAPHLOOM_TOKENIZERS"):
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op3_piece_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = encode_decode(docs, tokenizer("piece_bpe_32k.model")).drop("text")
+    joined = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
