@@ -27,6 +27,8 @@ TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 MARKS = ("<unknown>", "<capitals>", "<repeat>", "<digits>", "<break>")
 UNKNOWN, CAPITALS, REPEAT, DIGITS, BREAK = range(len(MARKS))
 UNSEEN = 1 << 40
+#: A short text says little: its vector is drawn towards the average by so many words.
+PRIOR = 20.0
 
 
 def index_vector(word: str, dims: int, ones: int = 6) -> np.ndarray:
@@ -97,8 +99,8 @@ class QualityModel:
     shift: float = 0.0
     temperature: float = 1.0
 
-    def pooled(self, texts: list[str]) -> np.ndarray:
-        """The mean word vector of each text."""
+    def pooled(self, texts: list[str], prior: float = 0.0) -> np.ndarray:
+        """The mean word vector of each text, as if it had ``prior`` average words besides."""
         out = np.zeros((len(texts), self.vectors.shape[1]), np.float32)
         for a, b in pieces(texts, 1_000_000):
             numbers, counts = self.words.read(texts[a:b])
@@ -107,6 +109,7 @@ class QualityModel:
                 own = numbers[starts[k] : starts[k] + counts[k]]
                 n = np.bincount(own) if len(own) > 4 * len(self.vectors) else None
                 out[a + k] = (n @ self.vectors[: len(n)] if n is not None else self.vectors[own].sum(0)) / counts[k]
+                out[a + k] = self.mean + (out[a + k] - self.mean) * (counts[k] / (counts[k] + prior))
         return out
 
     def logits(self, pooled: np.ndarray) -> np.ndarray:
@@ -115,7 +118,7 @@ class QualityModel:
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """Probabilities of label 1."""
-        return 1 / (1 + np.exp(-np.clip(self.logits(self.pooled(texts)) / self.temperature, -50, 50)))
+        return 1 / (1 + np.exp(-np.clip(self.logits(self.pooled(texts, PRIOR)) / self.temperature, -50, 50)))
 
 
 def fit_quality(rows: pd.DataFrame, share: float, dims: int = 64, hidden: int = 24, window: int = 2, least: int = 3, most_words: int = 20_000, rounds: int = 60, seed: int = 3) -> QualityModel:
