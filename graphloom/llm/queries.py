@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, table
+from .decontaminate import MASKS, decontaminate
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .near_dedup import near_dedup
@@ -130,6 +131,43 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
+@query
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select(F.col("id").alias("doc_id"), "contaminated", "n_items", "best_score", "items")
+
+
+def _seed_sql(words: str) -> str:
+    """For each mask, the words that count from place ``pos`` on, joined."""
+    joined = lambda m: " || ' ' || ".join(f"{words}[pos + {j + 1}]" for j, x in enumerate(m) if x == "1")
+    return "CASE mask " + " ".join(f"WHEN {i} THEN {joined(m)}" for i, m in enumerate(MASKS)) + " END"
+
+
+def decontamination_sql(documents: str) -> str:
+    lengths = "[" + ", ".join(str(len(m)) for m in MASKS) + "]"
+    words = "list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
+    seeds = lambda of, key: f"""SELECT {key}, mask, pos, {_seed_sql('words')} AS seed FROM (SELECT {key}, words, unnest(range(len(words))) AS pos FROM {of}) CROSS JOIN (SELECT unnest(range({len(MASKS)})) AS mask)
+      WHERE pos + {lengths}[mask + 1] <= len(words)"""
+    return f"""
+    doc_words AS (SELECT doc_id, {words} AS words FROM {documents}),
+    item_words AS (SELECT item_id, {words} AS words FROM benchmark),
+    item_seeds AS ({seeds('item_words', 'item_id')}),
+    doc_seeds AS ({seeds('doc_words', 'doc_id')}),
+    lain AS (SELECT DISTINCT doc_id, item_id, d.pos - i.pos AS off FROM doc_seeds d JOIN item_seeds i USING (mask, seed)),
+    side AS (SELECT doc_id, item_id, off, j, CASE WHEN off + j >= 0 AND d.words[off + j + 1] = i.words[j + 1] THEN 1 ELSE -1 END AS x
+      FROM lain JOIN doc_words d USING (doc_id) JOIN item_words i USING (item_id), unnest(range(len(i.words))) AS u(j)),
+    sums AS (SELECT *, sum(x) OVER (PARTITION BY doc_id, item_id, off ORDER BY j) AS c FROM side),
+    scored AS (SELECT doc_id, item_id, max(c - low) AS score FROM
+      (SELECT *, least(0, min(c) OVER (PARTITION BY doc_id, item_id, off ORDER BY j)) AS low FROM sums) GROUP BY doc_id, item_id),
+    judged AS (SELECT doc_id, item_id, score, score >= least(12, greatest(ceil(len(words) * 0.45), 8)) AS bad FROM scored JOIN item_words USING (item_id)),
+    contaminated AS (SELECT doc_id, max(score) AS best_score, count(*) FILTER (WHERE bad) AS n_items, string_agg(item_id, ',' ORDER BY item_id) FILTER (WHERE bad) AS items FROM judged GROUP BY doc_id)"""
+
+
+ORACLES["op5_decontaminate"] = f"""WITH {decontamination_sql('documents')}
+SELECT doc_id, coalesce(n_items, 0) > 0 AS contaminated, coalesce(n_items, 0) AS n_items, CAST(coalesce(best_score, 0) AS INTEGER) AS best_score, coalesce(items, '') AS items
+FROM documents LEFT JOIN contaminated USING (doc_id)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
