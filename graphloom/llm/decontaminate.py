@@ -9,6 +9,8 @@ that agrees counts 1, one that differs -1.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,17 +27,44 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
+#: Bits of the sieve for single words: bounded, and small enough to be part of the plan.
+WORD_BITS = 1 << 16
+
+
+def words_of(items: DataFrame) -> Column:
+    """The bits of all words of the benchmark's "codes", as a constant array of 64-bit numbers."""
+    found = items.select(F.explode("codes").alias("c")).select(F.col("c").bitwiseAND(WORD_BITS - 1).alias("c")).distinct().collect()
+    bits = [0] * (WORD_BITS // 64)
+    for r in found:
+        bits[r["c"] >> 6] |= 1 << (r["c"] & 63)
+    return F.array(*[F.lit(b - (1 << 64) if b >> 63 else b).cast("long") for b in bits])
+
+
+def known(code: Column, bits: Column) -> Column:
+    """Whether a word may be one of the benchmark's."""
+    low = code.bitwiseAND(WORD_BITS - 1).cast("int")
+    return F.call_function("shiftright", F.get(bits, F.shiftright(low, 6)), low.bitwiseAND(63)).bitwiseAND(1) == 1
+
+
+#: Words of a row's chunk, which bounds what a task holds at once.
+CHUNK = 2048
+
+
 def seeds(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """(keep..., at, seed) for all masks and places of each row's array "codes" of word hashes."""
-    n = len(MASKS)
-    # one row for each mask and start, made and hashed within one stage
-    each = rows.where(F.size("codes") > 0).select(*keep, "codes", F.explode(F.sequence(F.lit(0), F.size("codes") * n - 1)).alias("k"))
-    mask, at = F.col("k") % n, F.floor(F.col("k") / n).cast("int")
-    hashes = None
-    for i, m in enumerate(MASKS):
-        own = F.when(at + len(m) <= F.size("codes"), F.xxhash64(F.lit(i), *[F.get("codes", at + j) for j, x in enumerate(m) if x == "1"]))
-        hashes = F.when(mask == i, own) if hashes is None else hashes.when(mask == i, own)
-    return each.select(*keep, at.alias("at"), hashes.alias("seed")).where(F.col("seed").isNotNull())
+    """(keep..., at, seed) for all masks and places of each row's array "codes" of word hashes,
+    of which null ones are in no seed. Texts go in chunks that overlap by a mask's length, so that no row carries a long array along."""
+    span = max(map(len, MASKS)) - 1
+    starts = F.when(F.size("codes") > 0, F.sequence(F.lit(0), F.size("codes") - 1, F.lit(CHUNK))).otherwise(F.array().cast("array<int>"))
+    chunks = rows.select(*keep, F.explode(F.transform(starts, lambda i: F.struct(i.alias("from"), F.slice("codes", i + 1, CHUNK + span).alias("own")))).alias("c")).select(*keep, "c.*")
+
+    def of(i: int, m: str) -> Column:
+        last = F.least(F.size("own") - len(m), F.lit(CHUNK - 1))
+        hashed = lambda at: F.xxhash64(F.lit(i), *[F.get("own", at + j) for j, x in enumerate(m) if x == "1"])
+        places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        full = lambda at: reduce(Column.__and__, [F.get("own", at + j).isNotNull() for j, x in enumerate(m) if x == "1"])
+        return F.transform(F.filter(places, full), lambda at: F.struct((F.col("from") + at).alias("at"), hashed(at).alias("seed")))
+
+    return chunks.select(*keep, F.explode(F.concat(*[of(i, m) for i, m in enumerate(MASKS)])).alias("s")).select(*keep, "s.*")
 
 
 def sieved(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
@@ -56,12 +85,14 @@ ROW = ["k1", "k2"]
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
     """(k1, k2, item, score, words): each document and item that share a seed, with the best score
     and the item's count of words."""
-    rows = docs.select(whole(F.col(id_col).cast("string")).alias("k1"), F.xxhash64(text_col).alias("k2"), codes(whole(text_col)).alias("codes"))
-    items = written(benchmark.select(F.col(item_col).alias("item"), codes(whole(item_text_col)).alias("codes")).where(F.size("codes") > 0), "items")
+    rows = docs.select(whole(F.col(id_col).cast("string")).alias("k1"), F.xxhash64(text_col).alias("k2"), whole(text_col).alias("text"))
+    items = written(benchmark.select(F.col(item_col).alias("item"), codes(whole(item_text_col)).alias("codes")), "items")
     own = written(seeds(items, ["item"]).select("seed", "item", F.col("at").alias("item_at")), "item_seeds")
-    found = sieved(seeds(rows, ROW), own, "seed").join(own, "seed")
+    bits = words_of(items)
+    marked = rows.withColumn("codes", F.transform(tokens(F.col("text")), lambda x: F.when(known(F.xxhash64(x), bits), F.xxhash64(x))))
+    found = sieved(seeds(marked, ROW), own, "seed").join(own, "seed")
     lain = written(found.select(*ROW, "item", (F.col("at") - F.col("item_at")).alias("offset")).distinct(), "offsets")
-    hit = sieved(rows, lain.select("k2"), "k2").distinct()
+    hit = sieved(rows, lain.select("k2"), "k2").join(lain.select(*ROW).distinct(), ROW, "left_semi").dropDuplicates(ROW).select(*ROW, codes(F.col("text")).alias("codes"))
     laid = lain.join(hit, ROW).join(items.select("item", F.col("codes").alias("words")), "item")
     start = F.greatest(F.col("offset"), F.lit(0))
     laid = laid.select(*ROW, "item", "words", "offset", F.slice("codes", start + 1, F.size("words")).alias("near"), (start - F.col("offset")).alias("skip"))
