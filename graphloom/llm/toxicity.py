@@ -170,7 +170,8 @@ class ToxicModel:
 
 def fit_toxicity(rows: pd.DataFrame, share: float, most_words: int = 6000, least: int = 4, dims: int = 8, hidden: int = 8, rounds: int = 6, seed: int = 5) -> ToxicModel:
     """Fits on rows (text, label). The first rounds take any window of a document, the later ones its
-    worst (of documents of label 0 the worst two); ``share`` is label 1's share outside the sample."""
+    worst (of documents of label 0 the worst two); ``share`` is label 1's share outside the sample.
+    Few rows make smaller steps and more rounds, so that there are some 250 steps at least."""
     texts, y = rows["text"].tolist(), rows["label"].to_numpy(np.float32)
     r = np.random.default_rng(seed)
     counts = Counter(w for x in texts for w in set(WORD.findall(x.lower())))
@@ -186,16 +187,19 @@ def fit_toxicity(rows: pd.DataFrame, share: float, most_words: int = 6000, least
     words, codes, counts_ = model.read(texts)
     text, first, length = model.windows(counts_)
     m, v, step = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}, 0
+    size = min(128, max(16, len(texts) // 16))
+    rounds = max(rounds, min(40, -(-250 * size // (2 * len(texts)))))
     for turn in range(rounds):
-        if turn < 3:  # any windows, up to three of a text
+        early = turn < rounds // 2
+        if early:  # any windows, up to three of a text
             order = r.permutation(len(text))
         else:
             order = np.argsort(-np.concatenate([model.logits(texts[lo : lo + 500])[0] for lo in range(0, len(texts), 500)]), kind="stable")
         rank = pd.Series(text[order]).groupby(text[order]).cumcount().to_numpy()
-        chosen = order[rank < (3 if turn < 3 else np.where(y[text[order]] > 0, 1, 2))]
+        chosen = order[rank < (3 if early else np.where(y[text[order]] > 0, 1, 2))]
         chosen = r.permutation(chosen[length[chosen] > 0])
-        for lo in range(0, len(chosen), 128):
-            k = chosen[lo : lo + 128]
+        for lo in range(0, len(chosen), size):
+            k = chosen[lo : lo + size]
             at = first[k] + np.arange(model.width)[:, None]
             number = codes[np.minimum(at, len(codes) - 1)]
             own, local = np.unique(number, return_inverse=True)
@@ -203,7 +207,7 @@ def fit_toxicity(rows: pd.DataFrame, share: float, most_words: int = 6000, least
             for key, g in model.gradient([words[i] for i in own], local.reshape(number.shape), length[k], y[text[k]]).items():
                 m[key] += 0.1 * (g - m[key])
                 v[key] += 0.001 * (g * g - v[key])
-                p[key] -= (0.01 / (1 + turn / 3) * (m[key] / (1 - 0.9**step)) / (np.sqrt(v[key] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                p[key] -= (0.01 / (1 + 2 * turn / rounds) * (m[key] / (1 - 0.9**step)) / (np.sqrt(v[key] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
     # windows were drawn by label; a scale and shift of the worst window's logit fit the documents
     logit = np.full(len(texts), -np.inf)
     for lo in range(0, len(texts), 500):
