@@ -90,9 +90,9 @@ def placed_edges(graph: Graph, members: DataFrame, *kinds: str) -> DataFrame:
 def merged_weights(graph: Graph) -> DataFrame:
     """(u, v, weight): unordered pairs of symbols with summed weights: calls 3, imports 2, containment 1."""
     weight = F.when(F.col("kind") == "CALLS", 3).when(F.col("kind") == "IMPORTS", 2).otherwise(1)
-    own = graph.symbols.select("uid")
+    own = graph.symbols.select(F.col("uid").alias("own_uid"))
     e = graph.edges.where(F.col("kind").isin("CALLS", "IMPORTS", "CONTAINED_BY") & (F.col("source_uid") != F.col("target_uid")))
-    e = e.join(own, F.col("source_uid") == F.col("uid"), "left_semi").join(own, F.col("target_uid") == F.col("uid"), "left_semi")
+    e = e.join(own, F.col("source_uid") == F.col("own_uid"), "left_semi").join(own, F.col("target_uid") == F.col("own_uid"), "left_semi")
     return e.groupBy(F.least("source_uid", "target_uid").alias("u"), F.greatest("source_uid", "target_uid").alias("v")).agg(F.sum(weight).cast("double").alias("weight"))
 
 

@@ -68,7 +68,7 @@ def upserted(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
 
 def delete_by_file(symbols: DataFrame, edges: DataFrame, files: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Symbols, edges and files without those of some files (file_path): edges go with either end."""
-    lost = symbols.join(gone, "file_path", "left_semi").select("uid")
-    left = edges.join(lost, F.col("source_uid") == F.col("uid"), "left_anti").join(lost, F.col("target_uid") == F.col("uid"), "left_anti")
+    lost = symbols.join(gone, "file_path", "left_semi").select(F.col("uid").alias("lost"))
+    left = edges.join(lost, F.col("source_uid") == F.col("lost"), "left_anti").join(lost, F.col("target_uid") == F.col("lost"), "left_anti")
     left = left.join(gone.select(F.concat(F.lit("F:"), "file_path").alias("f")), F.col("target_uid") == F.col("f"), "left_anti")
     return symbols.join(gone, "file_path", "left_anti"), left, files.join(gone.select(F.col("file_path").alias("path")), "path", "left_anti")

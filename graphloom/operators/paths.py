@@ -56,8 +56,8 @@ def call_depths(graph: Graph) -> DataFrame:
 
 def both_ways(graph: Graph) -> DataFrame:
     """(src, dst, step) of all edges between symbols, each in both directions."""
-    own = graph.symbols.select("uid")
-    edges = graph.edges.join(own, F.col("source_uid") == F.col("uid"), "left_semi").join(own, F.col("target_uid") == F.col("uid"), "left_semi")
+    own = graph.symbols.select(F.col("uid").alias("own_uid"))
+    edges = graph.edges.join(own, F.col("source_uid") == F.col("own_uid"), "left_semi").join(own, F.col("target_uid") == F.col("own_uid"), "left_semi")
     step = F.struct(F.col("source_uid").alias("source"), F.col("target_uid").alias("target"), F.col("kind").alias("relationship")).alias("step")
     return edges.select(F.col("source_uid").alias("src"), F.col("target_uid").alias("dst"), step).union(edges.select("target_uid", "source_uid", step))
 
