@@ -6,6 +6,7 @@ the old rows or the new. Tables are partitioned by repository, which scans prune
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -20,18 +21,19 @@ class Catalog:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _current(self, name: str) -> str | None:
+    def _current(self, name: str) -> tuple[str, StructType] | None:
+        """Where the current rows are, and their schema, which an empty folder doesn't show."""
         try:
-            row = self.spark.read.json(f"{self.root}/{name}/versions", schema="version long, path string").orderBy(F.desc("version")).first()
+            row = self.spark.read.json(f"{self.root}/{name}/versions", schema="version long, path string, kinds string").orderBy(F.desc("version")).first()
         except AnalysisException:
             return None
         self._version = row["version"] if row else 0
-        return row["path"] if row else None
+        return (row["path"], StructType.fromJson(json.loads(row["kinds"]))) if row else None
 
     def read(self, name: str, repo: str | None = None) -> DataFrame:
         """All rows, or a repository's; a table that isn't there is empty."""
-        schema, path = TABLES.get(name), self._current(name)
-        df = self.spark.read.parquet(path) if path else self.spark.createDataFrame([], schema or StructType())
+        found = self._current(name)
+        df = self.spark.read.schema(found[1]).parquet(found[0]) if found else self.spark.createDataFrame([], TABLES.get(name, StructType()))
         return df if repo is None else df.where(F.col("repo_id") == repo)
 
     def replace(self, name: str, rows: DataFrame) -> None:
@@ -41,7 +43,7 @@ class Catalog:
         path = f"{self.root}/{name}/data-{uuid.uuid4().hex}"
         writer = rows.write
         (writer.partitionBy("repo_id") if "repo_id" in rows.columns else writer).parquet(path)
-        self.spark.range(1).select(F.lit(self._version + 1).cast("long").alias("version"), F.lit(path).alias("path")).coalesce(1).write.mode("append").json(f"{self.root}/{name}/versions")
+        self.spark.range(1).select(F.lit(self._version + 1).cast("long").alias("version"), F.lit(path).alias("path"), F.lit(rows.schema.json()).alias("kinds")).coalesce(1).write.mode("append").json(f"{self.root}/{name}/versions")
 
     def append(self, name: str, rows: DataFrame) -> None:
         old = self.read(name)
