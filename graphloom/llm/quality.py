@@ -134,10 +134,12 @@ def fit_quality(rows: pd.DataFrame, share: float, dims: int = 64, hidden: int =
         a, b = numbers[:-d], numbers[d:]
         for p, q in ((a, b), (b, a)):  # the counts of pairs of words, times the neighbours' vectors
             pairs, n = np.unique(p * len(names) + q, return_counts=True)
-            for lo in range(0, len(pairs), 200_000):
-                word, near = np.divmod(pairs[lo : lo + 200_000], len(names))
+            for lo in range(0, len(pairs), 25_000):
+                word, near = np.divmod(pairs[lo : lo + 25_000], len(names))
                 starts = np.flatnonzero(np.diff(word, prepend=-1))
-                context[word[starts]] += np.add.reduceat(index[near] * n[lo : lo + 200_000, None], starts)
+                context[word[starts]] += np.add.reduceat(index[near] * n[lo : lo + 25_000, None].astype(np.float32), starts)
+            del pairs, n
+    words.seen.clear()
     unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
     vectors = (unit(index) + unit(context)).astype(np.float32)
     r = np.random.default_rng(seed)
