@@ -4,7 +4,8 @@ A seed is a run of words of which a fixed mask ignores some, so that a replaced
 harm. Seeds of the benchmark and of the documents meet by their hash; a sieve of bounded size is
 broadcast first, so that of the documents' seeds only hits (and a few chance ones) are shuffled.
 Around each hit, item and document are laid side by side and the best stretch is scored: a word
-that agrees counts 1, one that differs -1.
+that agrees counts 1, one that differs -1. Items too short to score enough with many replaced words
+are judged by the share of their words that agree.
 """
 
 from __future__ import annotations
@@ -83,8 +84,8 @@ ROW = ["k1", "k2"]
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
-    """(k1, k2, item, score, words): each document and item that share a seed, with the best score
-    and the item's count of words."""
+    """(k1, k2, item, score, agreed, words): each document and item that share a seed, with the best score,
+    the most words that agree side by side, and the item's count of words."""
     rows = docs.select(whole(F.col(id_col).cast("string")).alias("k1"), F.xxhash64(text_col).alias("k2"), whole(text_col).alias("text"))
     items = written(benchmark.select(F.col(item_col).alias("item"), codes(whole(item_text_col)).alias("codes")), "items")
     own = written(seeds(items, ["item"]).select("seed", "item", F.col("at").alias("item_at")), "item_seeds")
@@ -97,15 +98,19 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
     start = F.greatest(F.col("offset"), F.lit(0))
     laid = laid.select(*ROW, "item", "words", "offset", F.slice("codes", start + 1, F.size("words")).alias("near"), (start - F.col("offset")).alias("skip"))
     agree = F.transform("words", lambda x, j: F.when(F.get(F.col("near"), F.when(j >= F.col("skip"), j - F.col("skip")).otherwise(F.lit(-1))) == x, 1).otherwise(-1))
-    best = F.aggregate(agree, F.struct(F.lit(0).alias("now"), F.lit(0).alias("best")), lambda a, x: F.struct(F.greatest(a["now"] + x, F.lit(0)).alias("now"), F.greatest(a["best"], a["now"] + x).alias("best")))["best"]
-    return laid.select(*ROW, "item", best.alias("score"), F.size("words").alias("words")).groupBy(*ROW, "item").agg(F.max("score").alias("score"), F.max("words").alias("words"))
+    best = F.aggregate("agree", F.struct(F.lit(0).alias("now"), F.lit(0).alias("best")), lambda a, x: F.struct(F.greatest(a["now"] + x, F.lit(0)).alias("now"), F.greatest(a["best"], a["now"] + x).alias("best")))["best"]
+    agreed = F.size(F.filter("agree", lambda x: x == 1))
+    laid = laid.select(*ROW, "item", "words", agree.alias("agree")).select(*ROW, "item", best.alias("score"), agreed.alias("agreed"), F.size("words").alias("words"))
+    return laid.groupBy(*ROW, "item").agg(*[F.max(c).alias(c) for c in ("score", "agreed", "words")])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", enough: int = 12, least: int = 8, share: float = 0.45) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", enough: int = 12, least: int = 8, share: float = 0.45, agreeing: float | None = None) -> DataFrame:
     """One row per document: k1, k2 (the row's key), id, contaminated, n_items, best_score, items.
 
     A document is contaminated by an item if the best stretch of the two side by side scores at least
-    ``enough``, or for short items ``share`` of the item's words but no less than ``least``; items of
+    ``enough``, or for short items ``share`` of the item's words but no less than ``least``; with
+    ``agreeing``, also if so large a share of the item's words, and no fewer than ``least``, agree side
+    by side: at 0.6, items of 11 words and more are found with every third word replaced. Items of
     fewer than ``least`` words, or shorter than the masks, are never found. best_score is that of all
     items with a seed in common (0: none), items the sorted ids of the contaminating ones. Null and
     empty texts are clean; so is everything if the benchmark is empty. Rows with the same id and text
@@ -113,7 +118,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     over = overlaps(docs, benchmark, id_col, text_col, item_col, item_text_col)
     limit = F.least(F.lit(enough), F.greatest(F.ceil(F.col("words") * share).cast("int"), F.lit(least)))
-    bad = F.when(F.col("score") >= limit, F.col("item"))
+    found = F.col("score") >= limit
+    if agreeing is not None:
+        found |= F.col("agreed") >= F.greatest(F.ceil(F.col("words") * agreeing).cast("int"), F.lit(least))
+    bad = F.when(found, F.col("item"))
     each = over.groupBy(*ROW).agg(F.max("score").alias("best_score"), F.sort_array(F.collect_set(bad)).alias("items"))
     rows = docs.select(whole(F.col(id_col).cast("string")).alias("k1"), F.xxhash64(text_col).alias("k2"), F.col(id_col).alias("id"))
     joined = rows.join(each, ROW, "left")

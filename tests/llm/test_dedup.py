@@ -146,3 +146,21 @@ def test_decontamination_finds_replaced_words_and_leaves_short_overlaps(spark, o
     assert decontaminate(frame, bench.limit(0)).where("contaminated").count() == 0
     assert decontaminate(none, bench).count() == 0
     assert drop_contaminated(frame, bench).columns == ["doc_id", "text"]
+
+
+def test_decontamination_finds_short_items_with_every_third_word_replaced(spark, tmp_path):
+    import corpus_pipeline
+    from graphloom.llm.queries import op5_decontaminate
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    items = {n: [word() for _ in range(n)] for n in (11, 15, 20, 30, 31)}
+    around = lambda x: " ".join([word() for _ in range(40)] + x + [word() for _ in range(40)])
+    docs = [(100 * n + first, around([word() if i % 3 == first else w for i, w in enumerate(x)])) for n, x in items.items() for first in (0, 1, 2) if n > 11 or first == 2]
+    clean = [(1, around(items[20][:8])), (2, around(items[15][:7])), (3, around(items[30][3:11])), (4, around([]))]
+    spark.createDataFrame(docs + clean, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(n, " ".join(x)) for n, x in items.items()], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {x.doc_id: x for x in op5_decontaminate(spark, str(tmp_path)).collect()}
+    assert {i: x.items for i, x in got.items() if x.contaminated} == {i: str(i // 100) for i, _ in docs}
+    kept = corpus_pipeline.benchmark(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert {x.doc_id for x in kept.collect()} == {i for i, x in got.items() if not x.contaminated}
