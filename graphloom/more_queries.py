@@ -34,11 +34,7 @@ def eigenvector(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def betweenness_closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact up to 4,000 symbols; beyond, from a stated sample of sources: those whose hashed id divides."""
-    g = derived(spark, sf_dir)
-    every = max(1, g.symbols.count() // 2000)
-    sources = g.symbols.where(F.pmod(F.xxhash64("uid"), F.lit(every)) == 0).select(F.col("uid").alias("node"))
-    return I.shortest_path_centralities(A.merged_weights(g), sources)
+    return I.shortest_path_centralities(A.merged_weights(derived(spark, sf_dir)))
 
 
 @query()

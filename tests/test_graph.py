@@ -168,3 +168,48 @@ def test_class_diagram_and_json(spark):
 def test_member_of_takes_the_last_owner(spark):
     s = spark.createDataFrame([("1", "A", "A", "f", 1), ("2", "A", "A", "f", 9), ("3", "m", "A.m", "f", 10), ("4", "n", "A::n", "g", 1)], "uid string, name string, qualified_name string, file_path string, start_line long")
     assert rows(builders.member_of(s)) == [("3", "2", "MEMBER_OF")]
+
+
+def plain_centralities(pairs, sources):
+    """Betweenness (summed over sources) and closeness by counting shortest paths between all pairs."""
+    near = defaultdict(set)
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+
+    def search(s):
+        dist, ways, order = {s: 0}, {s: 1}, [s]
+        for v in order:
+            for w in near[v]:
+                if w not in dist:
+                    dist[w], ways[w] = dist[v] + 1, 0
+                    order.append(w)
+                if dist[w] == dist[v] + 1:
+                    ways[w] += ways[v]
+        return dist, ways
+
+    found, n = {v: search(v) for v in near}, len(near)
+    between = {v: sum(found[s][1][v] * found[v][1][t] / found[s][1][t] for s in sources if s != v for t in found[s][0] if t not in (s, v) and v in found[s][0] and found[s][0][v] + found[v][0][t] == found[s][0][t]) for v in near}
+    close = {s: (len(found[s][0]) - 1) ** 2 / sum(found[s][0].values()) / (n - 1) for s in sources}
+    return {v: x / ((n - 1) * (n - 2)) for v, x in between.items()}, close
+
+
+def test_centralities_of_all_sources_and_of_a_sample(spark):
+    pairs = sorted({tuple(sorted((a, b))) for a, b, _ in random_edges(3, 24, 34) if a != b})
+    w = spark.createDataFrame([(*p, 1.0) for p in pairs], "u string, v string, weight double")
+    nodes = sorted({x for p in pairs for x in p})
+    for sample in (nodes, nodes[::3]):
+        between, close = plain_centralities(pairs, sample)
+        some = None if sample is nodes else spark.createDataFrame([(x,) for x in sample], "node string")
+        got = {r.node: r for r in iterative.shortest_path_centralities(w, some).collect()}
+        assert {k: r.betweenness for k, r in got.items()} == pytest.approx({k: x * len(nodes) / len(sample) for k, x in between.items()})
+        assert {k: r.closeness for k, r in got.items()} == {k: pytest.approx(close[k]) if k in close else None for k in nodes}
+
+
+def test_registered_centralities_run_all_sources_of_larger_graphs(spark, monkeypatch):
+    from graphloom import more_queries
+
+    g = graph_of(spark, [(f"a{i}", f"b{i}", "CALLS") for i in range(2100)])
+    monkeypatch.setattr(more_queries, "derived", lambda *_: g)
+    got = more_queries.betweenness_closeness(spark, "").collect()
+    assert len(got) == 4200 and all(r.closeness == pytest.approx(1 / 4199) for r in got)
