@@ -152,7 +152,17 @@ def adaptation_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'd' || CAST(doc_id AS VARCHAR) AS file_path, i AS line, l AS before, regexp_replace(l, '\\bthe\\b', 'THE', 'g') AS after FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE doc_id < 60) WHERE regexp_matches(l, '\\bthe\\b')")
 def rename_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("doc_id < 60").select(F.concat(F.lit("d"), "doc_id").alias("file_path"), F.col("text").alias("content"))
+    """The first documents, as its SQL has them; rename_plan_whole takes all."""
+    return renamed(table(spark, sf_dir, "documents").where("doc_id < 60"))
+
+
+@query()
+def rename_plan_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return renamed(table(spark, sf_dir, "documents"))
+
+
+def renamed(documents: DataFrame) -> DataFrame:
+    docs = documents.select(F.concat(F.lit("d"), "doc_id").alias("file_path"), F.col("text").alias("content"))
     symbols = docs.select(F.col("file_path").alias("uid"), F.when(F.col("file_path") == "d0", "the").otherwise("x").alias("name"), "file_path")
     edges = docs.select(F.col("file_path").alias("source_uid"), F.lit("d0").alias("target_uid"), F.lit("CALLS").alias("kind"))
     plan = A.rename_plan(docs, symbols, edges, "the", "THE")
@@ -186,9 +196,9 @@ def resolve_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 MARKDOWN = "'# A' || CAST(doc_id AS VARCHAR) || chr(10) || text || chr(10) || '## ' || lang || chr(10) || '```' || chr(10) || '# no heading' || chr(10) || '```' || chr(10) || '### ' || source || chr(10) || 'see [x](../y.md), [z](#z), [w](http://w.org)' || chr(10) || '## End'"
 
 
-def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+def markdown(documents: DataFrame) -> DataFrame:
     n = F.lit("\n")
-    return table(spark, sf_dir, "documents").where("doc_id < 300").select(F.concat(F.lit("D"), "doc_id").alias("uid"), F.concat(F.lit("# A"), "doc_id", n, "text", F.lit("\n## "), "lang", F.lit("\n```\n# no heading\n```\n### "), "source", F.lit("\nsee [x](../y.md), [z](#z), [w](http://w.org)\n## End")).alias("content"))
+    return documents.select(F.concat(F.lit("D"), "doc_id").alias("uid"), F.concat(F.lit("# A"), "doc_id", n, "text", F.lit("\n## "), "lang", F.lit("\n```\n# no heading\n```\n### "), "source", F.lit("\nsee [x](../y.md), [z](#z), [w](http://w.org)\n## End")).alias("content"))
 
 
 @query(f"""WITH l AS (SELECT 'D' || CAST(doc_id AS VARCHAR) AS uid, unnest(string_split({MARKDOWN}, chr(10))) AS line, generate_subscripts(string_split({MARKDOWN}, chr(10)), 1) AS i, len(string_split({MARKDOWN}, chr(10))) AS n FROM documents WHERE doc_id < 300),
@@ -196,24 +206,54 @@ f AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^\\s*(```|~~~)') THEN 1 ELSE
 h AS (SELECT uid, i, n, length(regexp_extract(line, '^(#+)', 1)) AS level, trim(regexp_replace(line, '^#+\\s+', '')) AS title FROM f WHERE o = 0 AND regexp_matches(line, '^#{{1,6}}\\s+\\S'))
 SELECT uid, title, CAST(level AS INTEGER) AS level, CAST(i AS INTEGER) AS start_line, CAST(coalesce((SELECT min(x.i) - 1 FROM h x WHERE x.uid = h.uid AND x.i > h.i AND x.level <= h.level), n) AS INTEGER) AS end_line FROM h""")
 def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return content.markdown_sections(markdown(spark, sf_dir))
+    """The first documents, as its SQL has them; markdown_sections_whole takes all."""
+    return content.markdown_sections(markdown(table(spark, sf_dir, "documents").where("doc_id < 300")))
+
+
+@query()
+def markdown_sections_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return content.markdown_sections(markdown(table(spark, sf_dir, "documents")))
 
 
 @query("SELECT 'D' || CAST(doc_id AS VARCHAR) AS uid, '../y.md' AS link FROM documents WHERE doc_id < 300")
 def markdown_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return content.markdown_links(markdown(spark, sf_dir))
+    """The first documents, as its SQL has them; markdown_links_whole takes all."""
+    return content.markdown_links(markdown(table(spark, sf_dir, "documents").where("doc_id < 300")))
+
+
+@query()
+def markdown_links_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return content.markdown_links(markdown(table(spark, sf_dir, "documents")))
 
 
 @query("SELECT event_id, concat_ws(' ', event_type, 'base', 'Public') AS text, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id % 10 = 0")
 def metadata_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").where("event_id % 10 = 0")
+    """A tenth of the events, as its SQL has them; metadata_json_whole takes all."""
+    return described(table(spark, sf_dir, "events").where("event_id % 10 = 0"))
+
+
+@query()
+def metadata_json_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return described(table(spark, sf_dir, "events"))
+
+
+def described(rows: DataFrame) -> DataFrame:
     meta = F.to_json(F.struct(F.array("event_type").alias("decorators"), F.array(F.lit("base")).alias("superclasses"), F.lit("Public").alias("visibility")))
     return rows.select("event_id", T.metadata_text(meta).alias("text"), F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
 @query("SELECT doc_id, concat_ws(' ', 'Document', source, lang, text) AS text FROM documents WHERE strlen(text) <= 1792")
 def embedding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").where(F.octet_length("text") <= 1792)
+    """Texts short enough to stay uncut, as its SQL has them; embedding_text_whole takes all."""
+    return embeddable(table(spark, sf_dir, "documents").where(F.octet_length("text") <= 1792))
+
+
+@query()
+def embedding_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddable(table(spark, sf_dir, "documents"))
+
+
+def embeddable(rows: DataFrame) -> DataFrame:
     meta = F.to_json(F.struct(F.expr("cast(array() as array<string>)").alias("decorators")))
     return rows.select("doc_id", T.embedding_text(F.lit("Document"), F.col("source"), F.col("lang"), meta, F.col("text")).alias("text"))
 

@@ -26,8 +26,18 @@ def tokens_sql(text: str) -> str:
 
 @query(f"SELECT uid, term, count(*) AS tf FROM (SELECT uid, unnest({tokens_sql('text')}) AS term FROM (SELECT CAST(doc_id AS VARCHAR) AS uid, text FROM documents WHERE lang = 'en' UNION ALL SELECT 'i' || CAST(i AS VARCHAR), {IDENTIFIERS}[i + 1] FROM range({len(IDENTIFIERS)}) t(i))) GROUP BY uid, term")
 def tokenize_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    extra = spark.createDataFrame([(f"i{i}", x) for i, x in enumerate(IDENTIFIERS)], "uid string, text string")
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").cast("string").alias("uid"), "text").unionByName(extra)
+    """English documents, as its SQL has them; tokenize_terms_whole takes all."""
+    return terms(table(spark, sf_dir, "documents").where("lang = 'en'"))
+
+
+@query()
+def tokenize_terms_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terms(table(spark, sf_dir, "documents"))
+
+
+def terms(documents: DataFrame) -> DataFrame:
+    extra = documents.sparkSession.createDataFrame([(f"i{i}", x) for i, x in enumerate(IDENTIFIERS)], "uid string, text string")
+    docs = documents.select(F.col("doc_id").cast("string").alias("uid"), "text").unionByName(extra)
     return docs.select("uid", F.explode(tokenize("text")).alias("term")).groupBy("uid", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -36,8 +46,14 @@ def corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return R.inverted_index(docs, "uid", "source", "text")
 
 
+def all_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of the benchmark is a query, so their number grows with the input."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").where("item_id < 8").select(F.col("item_id").alias("query_id"), "text")
+    """The first ones, as the SQL has them; queries named ..._whole take all."""
+    return all_questions(spark, sf_dir).where("query_id < 8")
 
 
 BM25_CTES = f"""terms AS (SELECT doc_id AS uid, {tokens_sql("source || ' ' || text")} AS t FROM documents),
@@ -60,11 +76,21 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(R.bm25(*corpus(spark, sf_dir), questions(spark, sf_dir), 20).drop("rank"), "score")
 
 
+@query()
+def bm25_topk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(R.bm25(*corpus(spark, sf_dir), all_questions(spark, sf_dir), 20).drop("rank"), "score")
+
+
 @query(f"WITH {BM25_CTES} SELECT query_id, uid, term, tf, round(idf, 6) AS idf, round(tf_norm, 6) AS tf_norm, round(times * idf * tf_norm, 6) AS score FROM part")
 def bm25_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(R.contributions(*corpus(spark, sf_dir), questions(spark, sf_dir)), "idf", "tf_norm", "score")
 
 
+@query()
+def bm25_explain_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(R.contributions(*corpus(spark, sf_dir), all_questions(spark, sf_dir)), "idf", "tf_norm", "score")
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("uid"), F.col("embedding").alias("vector"), "label")
 
@@ -87,11 +113,11 @@ FROM (SELECT * FROM bm WHERE rank <= 100) a FULL JOIN (SELECT * FROM knn WHERE r
 fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, uid) AS rank FROM both_)"""
 
 
-def hybrid(spark: SparkSession, sf_dir: str, limit: int = 20) -> DataFrame:
+def hybrid(spark: SparkSession, sf_dir: str, asked: DataFrame, limit: int = 20) -> DataFrame:
     """Word and vector search of the same query ids, fused; documents stand for vectors of their id."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("uid"), F.col("embedding").alias("vector"))
-    q = v.where("uid < 8").select(F.col("uid").alias("query_id"), "vector")
-    return R.rrf(R.bm25(*corpus(spark, sf_dir), questions(spark, sf_dir), 100), R.knn(v, q, 100), limit=limit)
+    q = v.join(asked.select(F.col("query_id").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("query_id"), "vector")
+    return R.rrf(R.bm25(*corpus(spark, sf_dir), asked, 100), R.knn(v, q, 100), limit=limit)
 
 
 KNN8 = KNN.replace("q.vec_id % 100 = 0", "q.vec_id < 8")
@@ -99,7 +125,12 @@ KNN8 = KNN.replace("q.vec_id % 100 = 0", "q.vec_id < 8")
 
 @query(f"WITH {BM25_CTES}, {KNN8}, {FUSED} SELECT query_id, uid, round(score, 9) AS score, rank FROM fused WHERE rank <= 20".replace("SELECT query_id, uid, round(score, 9) AS score, rank FROM", "SELECT query_id, uid, round(score, 9) AS score, CAST(rank AS INTEGER) AS rank FROM"))
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(hybrid(spark, sf_dir), "score", to=9).select("query_id", "uid", "score", "rank")
+    return _rounded(hybrid(spark, sf_dir, questions(spark, sf_dir)), "score", to=9).select("query_id", "uid", "score", "rank")
+
+
+@query()
+def hybrid_search_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(hybrid(spark, sf_dir, all_questions(spark, sf_dir)), "score", to=9).select("query_id", "uid", "score", "rank")
 
 
 @query(f"""WITH {KNN8}, other AS (SELECT query_id, uid, row_number() OVER (PARTITION BY query_id ORDER BY uid) AS rank FROM knn WHERE uid % 3 = 0),
@@ -114,8 +145,17 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {BM25_CTES}, {KNN8}, {FUSED}, words AS (SELECT item_id AS query_id, list_distinct({tokens_sql('text')}) AS q FROM benchmark WHERE item_id < 8)
 SELECT query_id, uid, round(CAST(len(list_intersect(q, list_distinct({tokens_sql('text')}))) AS DOUBLE) / len(q), 6) AS rerank_score FROM fused JOIN words USING (query_id) JOIN documents ON doc_id = uid WHERE rank <= 20""")
 def rerank_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reranked(spark, sf_dir, questions(spark, sf_dir))
+
+
+@query()
+def rerank_lexical_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reranked(spark, sf_dir, all_questions(spark, sf_dir))
+
+
+def reranked(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("uid"), "text")
-    found = hybrid(spark, sf_dir).join(docs, "uid").join(questions(spark, sf_dir).withColumnRenamed("text", "query"), "query_id")
+    found = hybrid(spark, sf_dir, asked).join(docs, "uid").join(asked.withColumnRenamed("text", "query"), "query_id")
     return found.select("query_id", "uid", F.round(R.lexical_score(F.col("query"), F.col("text")), 6).alias("rerank_score"))
 
 
