@@ -49,15 +49,28 @@ steps AS (SELECT *, row_number() OVER (PARTITION BY entry ORDER BY path) - 1 AS
 
 @query(with_graph("SELECT entry, CAST(ordinal AS INTEGER) AS ordinal, CAST(len(path) - 1 AS BIGINT) AS depth, CASE WHEN len(path) > 1 THEN path[-2] END AS parent, uid FROM steps WHERE n > 1 AND ordinal < 100", TREE))
 def process_tree_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four levels, as its SQL has them; process_tree_steps_whole takes all ten."""
     return I.process_steps(derived(spark, sf_dir), depth=4)
 
 
+@query()
+def process_tree_steps_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.process_steps(derived(spark, sf_dir))
+
+
 @query(with_graph("SELECT entry, count(*) AS steps FROM steps JOIN sym USING (uid) WHERE n > 1 AND ordinal < 100 GROUP BY entry HAVING count(*) >= 3 AND bool_or(contains(lower(name), 'supplier'))", TREE))
 def process_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four levels, as its SQL has them; process_filter_whole takes all ten."""
     g = derived(spark, sf_dir)
     return I.process_filter(I.process_steps(g, depth=4), g.symbols, "Supplier", 3)
 
 
+@query()
+def process_filter_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = derived(spark, sf_dir)
+    return I.process_filter(I.process_steps(g), g.symbols, "Supplier", 3)
+
+
 # --- changes ---------------------------------------------------------------------------------------
 
 DIFF = """diff --git a/lib.rs b/lib.rs

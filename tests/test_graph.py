@@ -213,3 +213,42 @@ def test_registered_centralities_run_all_sources_of_larger_graphs(spark, monkeyp
     monkeypatch.setattr(more_queries, "derived", lambda *_: g)
     got = more_queries.betweenness_closeness(spark, "").collect()
     assert len(got) == 4200 and all(r.closeness == pytest.approx(1 / 4199) for r in got)
+
+
+def plain_steps(edges, roots, depth, budget):
+    near, out = defaultdict(list), []
+    for a, b, _ in sorted(edges):
+        near[a].append(b)
+
+    def walk(path, own):
+        if len(own) < budget:
+            own.append((path[0], len(own), len(path) - 1, path[-2] if len(path) > 1 else None, path[-1]))
+            for x in near[path[-1]] if len(path) < depth else ():
+                if x not in path:
+                    walk([*path, x], own)
+
+    for r in roots:
+        own = []
+        walk([r], own)
+        out += own if len(own) > 1 else []
+    return sorted(out, key=str)
+
+
+def test_process_steps_spend_the_budget_while_expanding(spark, monkeypatch):
+    from graphloom import more_queries
+
+    names = [f"n{i:02}" for i in range(14)]
+    chain = [(f"c{i}", f"c{i + 1}", "CALLS") for i in range(12)]
+    every = [(a, b, "CALLS") for a in names for b in names if a != b] + [("m", "n00", "CALLS")]  # more than 10^9 paths of ten levels
+    g = graph_of(spark, chain + every + [("z", "y", "CALLS")])
+    monkeypatch.setattr(more_queries, "derived", lambda *_: g)
+    want = plain_steps(chain + every + [("z", "y", "CALLS")], ["c0", "m", "z"], 10, 100)
+    got = more_queries.process_tree_steps_whole(spark, "")
+    assert sorted((tuple(r) for r in got.collect()), key=str) == want
+    assert max(x[2] for x in want) == 9 and sum(x[0] == "m" for x in want) == 100
+    some = random_edges(5, 10, 25)
+    roots = sorted({a for a, b, _ in some} - {b for a, b, _ in some}) or ["n00"]
+    entries = spark.createDataFrame([(r,) for r in roots], "entry string")
+    for budget in (1, 3, 20):
+        got = iterative.process_steps(graph_of(spark, some), 6, budget, entries).collect()
+        assert sorted((tuple(r) for r in got), key=str) == (plain_steps(some, roots, 6, budget) if budget > 1 else [(r, 0, 0, None, r) for r in roots if any(a == r for a, b, _ in some)])
