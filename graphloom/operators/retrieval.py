@@ -37,14 +37,15 @@ def contributions(postings: DataFrame, lengths: DataFrame, queries: DataFrame) -
     return rows.select("query_id", "uid", "term", "tf", idf.alias("idf"), tf.alias("tf_norm"), (F.col("times") * idf * tf).alias("score"))
 
 
-def ranked(rows: DataFrame, by: str, limit: int, *group: str) -> DataFrame:
-    """The best ``limit`` rows of each group with their rank from 1; equals go by uid."""
+def ranked(rows: DataFrame, by: str, limit: int | None, *group: str) -> DataFrame:
+    """The best ``limit`` rows (None: all) of each group with their rank from 1; equals go by uid."""
     order = [F.desc(by), F.col("uid")]
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= limit)
+    all_ = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    return all_ if limit is None else all_.where(F.col("rank") <= limit)
 
 
-def bm25(postings: DataFrame, lengths: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
-    """(query_id, uid, score, rank) of the best documents of each query."""
+def bm25(postings: DataFrame, lengths: DataFrame, queries: DataFrame, limit: int | None = 20) -> DataFrame:
+    """(query_id, uid, score, rank) of the best documents of each query, of all that match if limit is None."""
     scored = contributions(postings, lengths, queries).groupBy("query_id", "uid").agg(F.sum("score").alias("score")).where("score > 0")
     return ranked(scored, "score", limit, "query_id")
 

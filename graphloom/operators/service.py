@@ -85,9 +85,9 @@ def community_fallback(stored: DataFrame, found: DataFrame, by_path: DataFrame)
 
 
 def knowledge_query(postings: DataFrame, lengths: DataFrame, mentions: DataFrame, content: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
-    """(query_id, target, uid, kind, name): the content (uid, kind, name) that mentions (uid, target) a query's best
-    symbols; mail first, then documents and sections, then the rest, by name and uid; at most 100 a query."""
-    hits = bm25(postings, lengths, queries, 100).select("query_id", F.col("uid").alias("target"))
+    """(query_id, target, uid, kind, name): the content (uid, kind, name) that mentions (uid, target) any symbol
+    that matches a query; mail first, then documents and sections, then the rest, by name and uid; at most 100 a query."""
+    hits = bm25(postings, lengths, queries, None).select("query_id", F.col("uid").alias("target"))
     rows = hits.join(mentions.select("uid", "target").distinct(), "target").join(content.select("uid", "kind", "name"), "uid")
     kind = F.when(F.col("kind") == "Email", 0).when(F.col("kind") == "Document", 1).when(F.col("kind") == "Section", 2).otherwise(3)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(kind, "name", "uid", "target"))

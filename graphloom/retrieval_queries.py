@@ -113,11 +113,12 @@ FROM (SELECT * FROM bm WHERE rank <= 100) a FULL JOIN (SELECT * FROM knn WHERE r
 fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, uid) AS rank FROM both_)"""
 
 
-def hybrid(spark: SparkSession, sf_dir: str, asked: DataFrame, limit: int = 20) -> DataFrame:
-    """Word and vector search of the same query ids, fused; documents stand for vectors of their id."""
+def hybrid(spark: SparkSession, sf_dir: str, asked: DataFrame, limit: int = 20, words: int | None = None) -> DataFrame:
+    """Word search (its best ``words`` hits, or all) and vector search of the same query ids, fused; documents
+    stand for vectors of their id."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("uid"), F.col("embedding").alias("vector"))
     q = v.join(asked.select(F.col("query_id").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("query_id"), "vector")
-    return R.rrf(R.bm25(*corpus(spark, sf_dir), asked, 100), R.knn(v, q, 100), limit=limit)
+    return R.rrf(R.bm25(*corpus(spark, sf_dir), asked, words), R.knn(v, q, 100), limit=limit)
 
 
 KNN8 = KNN.replace("q.vec_id % 100 = 0", "q.vec_id < 8")
@@ -125,7 +126,8 @@ KNN8 = KNN.replace("q.vec_id % 100 = 0", "q.vec_id < 8")
 
 @query(f"WITH {BM25_CTES}, {KNN8}, {FUSED} SELECT query_id, uid, round(score, 9) AS score, rank FROM fused WHERE rank <= 20".replace("SELECT query_id, uid, round(score, 9) AS score, rank FROM", "SELECT query_id, uid, round(score, 9) AS score, CAST(rank AS INTEGER) AS rank FROM"))
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(hybrid(spark, sf_dir, questions(spark, sf_dir)), "score", to=9).select("query_id", "uid", "score", "rank")
+    """The best 100 hits by words, as its SQL has them; hybrid_search_whole fuses all."""
+    return _rounded(hybrid(spark, sf_dir, questions(spark, sf_dir), words=100), "score", to=9).select("query_id", "uid", "score", "rank")
 
 
 @query()
@@ -145,7 +147,8 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {BM25_CTES}, {KNN8}, {FUSED}, words AS (SELECT item_id AS query_id, list_distinct({tokens_sql('text')}) AS q FROM benchmark WHERE item_id < 8)
 SELECT query_id, uid, round(CAST(len(list_intersect(q, list_distinct({tokens_sql('text')}))) AS DOUBLE) / len(q), 6) AS rerank_score FROM fused JOIN words USING (query_id) JOIN documents ON doc_id = uid WHERE rank <= 20""")
 def rerank_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reranked(spark, sf_dir, questions(spark, sf_dir))
+    """The best 100 hits by words, as its SQL has them; rerank_lexical_whole fuses all."""
+    return reranked(spark, sf_dir, questions(spark, sf_dir), words=100)
 
 
 @query()
@@ -153,9 +156,9 @@ def rerank_lexical_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reranked(spark, sf_dir, all_questions(spark, sf_dir))
 
 
-def reranked(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
+def reranked(spark: SparkSession, sf_dir: str, asked: DataFrame, words: int | None = None) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("uid"), "text")
-    found = hybrid(spark, sf_dir, asked).join(docs, "uid").join(asked.withColumnRenamed("text", "query"), "query_id")
+    found = hybrid(spark, sf_dir, asked, words=words).join(docs, "uid").join(asked.withColumnRenamed("text", "query"), "query_id")
     return found.select("query_id", "uid", F.round(R.lexical_score(F.col("query"), F.col("text")), 6).alias("rerank_score"))
 
 

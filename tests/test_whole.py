@@ -4,9 +4,11 @@ import duckdb
 import pytest
 from test_oracles import TABLES, plain
 
+from graphloom.operators import retrieval as R
+from graphloom.operators import service as S
 from graphloom.queries import oracle_sql, queries
 
-TAKEN_OUT = (("WHERE doc_id < 60", ""), ("WHERE doc_id < 300", ""), ("WHERE event_id % 10 = 0", ""), ("WHERE lang = 'en'", ""), ("WHERE item_id < 8", ""), ("q.vec_id < 8", "q.vec_id IN (SELECT item_id FROM benchmark)"))
+TAKEN_OUT = (("WHERE doc_id < 60", ""), ("WHERE doc_id < 300", ""), ("WHERE event_id % 10 = 0", ""), ("WHERE lang = 'en'", ""), ("WHERE item_id < 8", ""), ("q.vec_id < 8", "q.vec_id IN (SELECT item_id FROM benchmark)"), ("FROM bm WHERE rank <= 100", "FROM bm"))
 NAMES = "rename_plan markdown_sections markdown_links metadata_json tokenize_terms bm25_topk bm25_explain hybrid_search rerank_lexical".split()
 
 
@@ -29,3 +31,12 @@ def test_embedding_text_cuts_long_texts_at_a_character(spark):
     want = {d.doc_id: " ".join(["Document", d.source, d.lang, d.text.encode()[:1792].decode(errors="ignore")]) for d in docs}
     assert any(len(d.text.encode()) > 1792 for d in docs)
     assert {r.doc_id: r.text for r in queries()["embedding_text_whole"](spark, folder).collect()} == want
+
+
+def test_knowledge_query_reads_mentions_of_all_matching_symbols(spark):
+    symbols = [(f"s{i:03}", "wanted " + "other " * i) for i in range(150)]  # the longer, the lower its score
+    post, lengths = R.inverted_index(spark.createDataFrame(symbols, "uid string, text string"), "uid", "text")
+    mentions = spark.createDataFrame([("d1", "s149"), ("d2", "s120"), ("d3", "s000")], "uid string, target string")
+    content = spark.createDataFrame([(f"d{i}", "Document", f"d{i}") for i in (1, 2, 3)], "uid string, kind string, name string")
+    got = S.knowledge_query(post, lengths, mentions, content, spark.createDataFrame([(1, "wanted")], "query_id int, text string"))
+    assert sorted((r.uid, r.target) for r in got.collect()) == [("d1", "s149"), ("d2", "s120"), ("d3", "s000")]
