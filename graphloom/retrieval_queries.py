@@ -223,6 +223,16 @@ def email_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 w AS (SELECT uid, line, unnest(string_split_regex(row, '[^\\p{L}\\p{N}_]+')) AS name FROM (SELECT uid, generate_subscripts(r, 1) AS line, unnest(r) AS row FROM (SELECT 'D' || CAST(doc_id AS VARCHAR) AS uid, string_split(text, chr(10)) AS r FROM documents)))
 SELECT w.uid, n.uid AS target, count(*) AS n, array_to_string(list_sort(list_distinct(list(line))), ',') AS lines FROM w JOIN names n USING (name) GROUP BY w.uid, n.uid""")
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of one form, as its SQL has them, which the given tables don't hold; mentions_whole looks for names that occur."""
     docs = table(spark, sf_dir, "documents")
     names = docs.select(F.regexp_extract("text", "AKIA[A-Z0-9]{16}", 0).alias("name")).where("name <> ''").distinct()
     return R.mentions(docs.select(F.concat(F.lit("D"), "doc_id").alias("uid"), "text"), names.select(F.concat(F.lit("N"), "name").alias("uid"), "name"))
+
+
+@query()
+def mentions_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of all documents that have a letter and look like identifiers are the names to look for."""
+    docs = table(spark, sf_dir, "documents")
+    words = docs.select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("name"))
+    names = words.where(F.col("name").rlike(r"\p{L}")).distinct()
+    return R.mentions(docs.select(F.concat(F.lit("D"), "doc_id").alias("uid"), "text"), names.select(F.concat(F.lit("N"), "name").alias("uid"), "name"))
