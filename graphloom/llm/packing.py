@@ -166,10 +166,17 @@ def pack(docs: DataFrame, tokenizer: RankTokenizer, width: int = 2048, id_col: s
     return docs.select(id_col, text_col).mapInArrow(run, SCHEMA)
 
 
+def _place(width: int) -> type:
+    """Positions in files have 16 bits where all of a row's fit."""
+    return np.uint16 if width <= 1 << 16 else np.int32
+
+
 def write_packed(packed: DataFrame, folder: str | None = None) -> str:
     """Writes the packed rows as files of each block, side by side below ``folder`` (a shared one
-    by default): ids.bin and positions.bin (matrices), cu_seqlens.bin (32 bits each, row after row)
-    and rows.bin (the number of cu_seqlens entries of each row). Returns the folder.
+    by default): ids.bin and positions.bin (matrices; positions of 16 bits up to a width of 65,536, else 32), cu_seqlens.bin (32 bits each, row after row),
+    rows.bin (the number of cu_seqlens entries of each row) and docs.bin (of each row: its number in
+    its block, then its segments' document ids and starts, 64 bits each, then a byte each, 1 for an id
+    that isn't null; then the length of the block's name, 32 bits, and the name). Returns the folder.
 
     Blocks are written again whole if a task is repeated, under a name of that attempt; the
     manifest in ``folder``/manifest lists those that count.
@@ -183,13 +190,16 @@ def write_packed(packed: DataFrame, folder: str | None = None) -> str:
         name = f"{root}/part-{TaskContext.get().partitionId():06d}-{TaskContext.get().taskAttemptId()}"
         store.create_dir(name, recursive=True)
         rows = 0
-        with store.open_output_stream(f"{name}/ids.bin") as ids, store.open_output_stream(f"{name}/positions.bin") as places, store.open_output_stream(f"{name}/cu_seqlens.bin") as cuts, store.open_output_stream(f"{name}/rows.bin") as sizes:
+        with store.open_output_stream(f"{name}/ids.bin") as ids, store.open_output_stream(f"{name}/positions.bin") as places, store.open_output_stream(f"{name}/cu_seqlens.bin") as cuts, store.open_output_stream(f"{name}/rows.bin") as sizes, store.open_output_stream(f"{name}/docs.bin") as held:
             for batch in batches:
-                for a, b, c in zip(*(batch.column(x).to_pylist() for x in ("input_ids", "position_ids", "cu_seqlens")), strict=True):
+                for a, b, c, block, row, docs, starts in zip(*(batch.column(x).to_pylist() for x in ("input_ids", "position_ids", "cu_seqlens", "block", "row", "doc_ids", "doc_starts")), strict=True):
                     ids.write(a)
-                    places.write(b)
+                    one = np.frombuffer(b, np.int32)
+                    places.write(one.astype(_place(len(one))).tobytes())
                     cuts.write(np.array(c, np.int32).tobytes())
                     sizes.write(np.array([len(c)], np.int32).tobytes())
+                    held.write(np.array([row, *(d or 0 for d in docs), *starts], np.int64).tobytes() + bytes(d is not None for d in docs))
+                    held.write(np.array([len(block.encode())], np.int32).tobytes() + block.encode())
                     rows += 1
         yield pa.RecordBatch.from_arrays([pa.array([name.rsplit("/", 1)[1]]), pa.array([rows], pa.int64())], ["part", "rows"])
 
@@ -210,8 +220,44 @@ def read_packed(spark: SparkSession, folder: str, width: int, id_bytes: int = 2)
                 for row in range(rows):
                     n = int(np.frombuffer(read["rows"].read(4), np.int32)[0])
                     ids = np.frombuffer(read["ids"].read(width * id_bytes), np.uint16 if id_bytes == 2 else np.uint32).astype(np.int32)
-                    one = [[part], [row], [ids], [np.frombuffer(read["positions"].read(width * 4), np.int32)], [np.frombuffer(read["cu_seqlens"].read(4 * n), np.int32)]]
+                    one = [[part], [row], [ids], [np.frombuffer(read["positions"].read(width * np.dtype(_place(width)).itemsize), _place(width)).astype(np.int32)], [np.frombuffer(read["cu_seqlens"].read(4 * n), np.int32)]]
                     kinds = [pa.string(), pa.int64(), *[pa.list_(pa.int32())] * 3]
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(one, kinds, strict=True)], ["part", "row", "ids", "positions", "cu_seqlens"])
 
     return spark.read.parquet(f"{folder}/manifest").mapInArrow(run, "part string, row long, ids array<int>, positions array<int>, cu_seqlens array<int>")
+
+
+def read_packed_rows(spark: SparkSession, folder: str, width: int, id_bytes: int = 2, batch_rows: int = 64) -> DataFrame:
+    """The rows of pack(), with all its columns, from files that write_packed wrote; a file that ends early is an error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        kinds = {"block": pa.string(), "row": pa.int64(), "n_tokens": pa.int32(), "doc_ids": pa.list_(pa.int64()), "doc_starts": pa.list_(pa.int64()), "cu_seqlens": pa.list_(pa.int32()), "input_ids": pa.binary(), "position_ids": pa.binary()}
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], list(kinds))
+        for batch in batches:
+            for part, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                read = {x: store.open_input_stream(f"{root}/{part}/{x}.bin", buffer_size=1 << 20) for x in ("ids", "positions", "cu_seqlens", "rows", "docs")}
+
+                def take(name: str, size: int, read: dict = read, part: str = part) -> bytes:
+                    data = read[name].read(size)
+                    if len(data) != size:
+                        raise ValueError(f"{part}/{name}.bin is cut short")
+                    return data
+
+                rows = []
+                for _ in range(n):
+                    m = int(np.frombuffer(take("rows", 4), np.int32)[0])
+                    cuts = np.frombuffer(take("cu_seqlens", 4 * m), np.int32)
+                    row, *held = np.frombuffer(take("docs", 8 * (2 * m - 1)), np.int64).tolist()
+                    docs = [d if there else None for d, there in zip(held[: m - 1], take("docs", m - 1), strict=True)]
+                    block = take("docs", int(np.frombuffer(take("docs", 4), np.int32)[0])).decode()
+                    rows.append((block, row, int(cuts[-1]), docs, held[m - 1 :], cuts, take("ids", width * id_bytes), np.frombuffer(take("positions", width * np.dtype(_place(width)).itemsize), _place(width)).astype(np.int32).tobytes()))
+                    if len(rows) == batch_rows:
+                        yield made(rows)
+                        rows = []
+                if rows:
+                    yield made(rows)
+
+    return spark.read.parquet(f"{folder}/manifest").mapInArrow(run, SCHEMA)

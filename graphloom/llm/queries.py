@@ -13,7 +13,7 @@ from .decontaminate import MASKS, decontaminate
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .near_dedup import near_dedup
-from .packing import RankTokenizer, pack
+from .packing import RankTokenizer, pack, read_packed_rows, write_packed
 from .piece_bpe import encode_decode
 from .pii import KINDS, find_pii
 from .quality import score_quality, train_quality
@@ -81,7 +81,8 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = RankTokenizer.load(tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return pack(table(spark, sf_dir, "documents"), ranks, width=2048)
+    folder = write_packed(pack(table(spark, sf_dir, "documents"), ranks, width=2048))
+    return read_packed_rows(spark, folder, 2048, 2 if ranks.end < 1 << 16 else 4)
 
 
 @query

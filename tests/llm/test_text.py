@@ -11,7 +11,7 @@ import pytest
 import sentencepiece
 
 from graphloom.llm import pii, quality, toxicity, warc
-from graphloom.llm.packing import RankTokenizer, best_fit_decreasing, pack, read_packed, segments, write_packed
+from graphloom.llm.packing import RankTokenizer, best_fit_decreasing, pack, read_packed, read_packed_rows, segments, write_packed
 from graphloom.llm.piece_bpe import Codec, PieceModel, encode_decode
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -91,6 +91,22 @@ def test_packing_is_lossless(spark, odd, none):
     assert pack(none, t).count() == 0
 
 
+def test_packed_rows_come_back_from_their_files(spark, odd, none, monkeypatch, tmp_path):
+    from graphloom.llm import queries
+
+    t = RankTokenizer.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    packed, calls = pack(odd, t, width=64), []
+    plain = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    assert plain(read_packed_rows(spark, write_packed(packed), 64)) == plain(packed)
+    assert any(None in r.doc_ids for r in packed.collect())
+    assert read_packed_rows(spark, write_packed(pack(none, t)), 2048).count() == 0
+    odd.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(queries, "write_packed", lambda df: calls.append(write_packed(df)) or calls[-1], raising=False)
+    got = queries.op1_pack(spark, str(tmp_path))
+    assert len(calls) == 1 and plain(got) == plain(pack(spark.read.parquet(f"{tmp_path}/documents.parquet"), t, width=2048))
+
+
+
 def test_base_patterns():
     brute = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
     r = random.Random(7)
