@@ -51,7 +51,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Stage]] = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("encode", encode)]
-#: SQL can't express the quality network; tests hold the stages against brute force instead.
+#: SQL can't express the quality network; tests/llm/test_pipeline.py holds run() against brute force, given the network's scores.
 ORACLE_SQL = None
 
 
