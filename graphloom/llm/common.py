@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The characters [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
+T = TypeVar("T")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,12 +66,62 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def arrow_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Keeps Arrow batches small enough for executors with little memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Bytes of an Arrow batch (a longer row stands alone). All operators have this one bound, so that a plan
+#: runs under it whichever operator was called last; a session's own smaller bound stays.
+BATCH_BYTES = 4 << 20
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def pieces(texts: list[str], most_chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def arrow_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of Arrow batches, for executors with little memory."""
+    now = re.match(r"(\d+)b?$", spark.conf.get(BATCH_CONF))
+    if not now or int(now[1]) <= 0 or int(now[1]) > BATCH_BYTES:
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+
+
+_KEPT: dict[str, object] = {}
+
+
+def kept_in_worker(key: str, make: Callable[[], T]) -> T:
+    """What a Python worker keeps from one task to the next. Workers live on and serve other operators'
+    tasks too: one operator's things are kept at a time, those of the one before go."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]  # type: ignore[return-value]
+
+
+def of_texts(run: Callable[[Iterator[list[str]]], Iterator[pa.Array]], kind: str) -> Callable[[Column], Column]:
+    """A column of type ``kind`` from a text column (null: empty), by a function from lists of texts to
+    arrays of as many values in all.
+
+    Only the texts go to Python; the rows' other columns stay in the JVM. The function is marked so that
+    the optimiser never copies it into a filter above, where it would run twice.
+    """
+
+    def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from run([x or "" for x in batch.to_pylist()] for batch in batches)
+        pa.default_memory_pool().release_unused()
+
+    each.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(each, returnType=kind).asNondeterministic()
+
+
+def with_last(docs: DataFrame, **columns: Column) -> DataFrame:
+    """The input's columns and new ones after them; columns of the same names are replaced."""
+    fresh = {x.lower() for x in columns}
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in fresh], *[x.alias(c) for c, x in columns.items()])
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """The name, or one like it that no column of ``docs`` has."""
+    have = {c.lower() for c in docs.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def pieces(texts: list[str], most_chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of a batch's texts that hold about ``most_chars`` together; a longer text stands alone."""
     start = total = 0
     for i, text in enumerate(texts):

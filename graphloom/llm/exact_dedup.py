@@ -53,7 +53,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     other; rows that repeat the winning id are all marked kept. Other columns of the input are
     not read, whatever their names. An empty table gives an empty result.
     """
-    arrow_batches(docs.sparkSession, 10_000)
+    arrow_batches(docs.sparkSession)
     normal = lower_ascii(whole(text_col))
     digests = written(docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(normal, 256)).alias("digest")), "digests")
     frequent = frequent_digests(digests, digests.count(), counters)

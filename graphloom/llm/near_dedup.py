@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, pieces, whole, written
+from .common import arrow_batches, kept_in_worker, pieces, whole, written
 from .graph import components
 
 U = np.uint64
@@ -123,6 +123,7 @@ def nodes_of(docs: DataFrame, id_col: str, text_col: str, size: int, coordinates
     """(k1, k2, id, n, node, buckets), one row per document; node and buckets are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_in_worker("near_dedup", object)
         for batch in batches:
             texts = [x or "" for x in batch.column("__text").to_pylist()]
             for a, b in pieces(texts):
@@ -245,7 +246,7 @@ def links_of(hits: DataFrame, sets: DataFrame, percent: int, partitions: int) ->
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, coordinates: int = 192, rows: int = 6) -> DataFrame:
     """(k1, k2, id, n, component_id, kept), one row per document; see near_dedup."""
     spark = docs.sparkSession
-    arrow_batches(spark, 1000)
+    arrow_batches(spark)
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     own = written(nodes_of(docs.select(id_col, text_col), id_col, text_col, size, coordinates, rows), "nodes")
     full = own.where("n > 0")

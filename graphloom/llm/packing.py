@@ -19,7 +19,7 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import arrow_batches, pieces, shared_folder
+from .common import arrow_batches, kept_in_worker, pieces, shared_folder
 
 
 class CapacityTree:
@@ -93,13 +93,8 @@ class RankTokenizer:
         return RankTokenizer(ranks, pattern, len(ranks), hashlib.sha256(raw + pattern.encode()).hexdigest())
 
 
-_ENCODINGS: dict[str, tiktoken.Encoding] = {}
-
-
 def _encoding(t: RankTokenizer) -> tiktoken.Encoding:
-    if t.key not in _ENCODINGS:
-        _ENCODINGS[t.key] = tiktoken.Encoding("own", pat_str=t.pattern, mergeable_ranks=t.ranks, special_tokens={})
-    return _ENCODINGS[t.key]
+    return kept_in_worker(f"packing {t.key}", lambda: tiktoken.Encoding("own", pat_str=t.pattern, mergeable_ranks=t.ranks, special_tokens={}))
 
 
 SCHEMA = "block string, row long, n_tokens int, doc_ids array<long>, doc_starts array<long>, cu_seqlens array<int>, input_ids binary, position_ids binary"
@@ -139,7 +134,7 @@ def pack(docs: DataFrame, tokenizer: RankTokenizer, width: int = 2048, id_col: s
     ``block_tokens`` tokens or one document, which bounds memory. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    arrow_batches(spark, 500)
+    arrow_batches(spark)
     shared = spark.sparkContext.broadcast(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import arrow_batches, pieces
+from .common import arrow_batches, kept_in_worker, of_texts, pieces, unused, with_last
 
 SPACE = "▁"
 
@@ -57,7 +58,8 @@ class PieceModel:
 @dataclass
 class Codec:
     model: PieceModel
-    most_kept: int = 700_000
+    most_bytes: int = 40_000_000  # of new known parts, about; as many old ones stay beside them
+    most_pairs: int = 200_000
     scores: dict[str, float] = field(init=False)
 
     def __post_init__(self) -> None:
@@ -72,6 +74,7 @@ class Codec:
         self.ranks = {x: r for r, (x, _) in enumerate(ordered)}
         self.order: dict[int, int] = {}  # when a piece of several characters is made
         self.halves: dict[int, tuple[int, int]] = {}
+        self.alone: dict[str, int] = {}  # pieces that merging makes of their own text
         self.odd: set[int] = set()  # made in another order than by rank
         tied = {a for a, b in zip(ordered, ordered[1:], strict=False) if self.scores[a[0]] == self.scores[b[0]]} | {b for a, b in zip(ordered, ordered[1:], strict=False) if self.scores[a[0]] == self.scores[b[0]]}
         for x, i in ordered:
@@ -79,6 +82,7 @@ class Codec:
             if self.merged(x, last) != [x]:
                 continue  # no merge ever makes this piece
             self.trie.add_word(x, i)
+            self.alone[x] = i
             if len(x) > 1:
                 l, r = (self.ids.get(y, -1 - ord(y[0])) for y in last[-2:])
                 self.order[i], self.halves[i] = self.ranks[x], (l, r)
@@ -93,9 +97,17 @@ class Codec:
         self.parts = re.compile(rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+" if apart and alone else rf"{SPACE}*[^{SPACE}]+|{SPACE}+" if apart else r"[\s\S]+")
 
     def forget(self) -> None:
+        """Lets go of all known parts and pairs."""
         self.known: dict[str, int] = {}
+        self.old: tuple[dict[str, int], array, array] = {}, array("i"), array("q", [0])
+        self.held, self.pairs = 0, {}
         self.flat, self.ends = array("i"), array("q", [0])
 
+    def age(self) -> None:
+        """Known parts become old; old ones that weren't used since they did go."""
+        self.old = self.known, self.flat, self.ends
+        self.known, self.held, self.flat, self.ends = {}, 0, array("i"), array("q", [0])
+
     def merged(self, text: str, last: list[str] | None = None) -> list[str]:
         """The text's symbols after all merges: best score first, then leftmost. last: gets both sides of each merge."""
         own, scores = list(text), self.scores
@@ -127,7 +139,7 @@ class Codec:
         Goes back through the merges at the seam, the later one first: no merge across the seam
         may come before the one that used up the piece at its left or right.
         """
-        if len(self.pairs) >= self.most_kept:
+        if len(self.pairs) >= self.most_pairs:
             self.pairs.clear()
         key, name, order, ranks = a << 22 | b + (1 << 21), self.name, self.order, self.ranks
         if a in self.odd or b in self.odd:
@@ -189,19 +201,26 @@ class Codec:
         """The number of a part of a text; its ids lie in ``flat`` between two ``ends``."""
         got = self.known.get(part)
         if got is None:
-            for i in self.split(part):
-                if i >= 0:
-                    self.flat.append(i)
-                else:
-                    self.flat.extend(self.byte[b] for b in chr(-1 - i).encode("utf-8", "surrogatepass"))
+            known, flat, ends = self.old
+            if (n := known.get(part)) is not None:
+                self.flat.extend(flat[ends[n] : ends[n + 1]])
+            elif (n := self.alone.get(part)) is not None:
+                self.flat.append(n)
+            else:
+                for i in self.split(part):
+                    if i >= 0:
+                        self.flat.append(i)
+                    else:
+                        self.flat.extend(self.byte[b] for b in chr(-1 - i).encode("utf-8", "surrogatepass"))
             self.ends.append(len(self.flat))
             got = self.known[part] = len(self.ends) - 2
+            self.held += 180 + 5 * len(part)
         return got
 
     def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the offsets of each text's."""
-        if len(self.known) > self.most_kept:
-            self.forget()
+        if self.held > self.most_bytes:
+            self.age()
         prefix, get, find = SPACE if self.model.dummy_prefix else "", self.known.get, self.parts.findall
         numbers, counts = [], []
         for text in texts:
@@ -235,14 +254,9 @@ class Codec:
             return re.sub("[\udc80-\udcff]", "�", raw.decode("utf-8", "surrogateescape"))
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def codec(model: PieceModel) -> Codec:
-    """One codec for each model and worker process."""
-    if model.key not in _CODECS:
-        _CODECS[model.key] = Codec(model)
-    return _CODECS[model.key]
+    """The worker process's codec of a model."""
+    return kept_in_worker(f"piece_bpe {model.key}", lambda: Codec(model))
 
 
 def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
@@ -253,23 +267,17 @@ def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text") -> D
     named ids or decoded are replaced; repeated rows each get their result; an empty table gives an
     empty result. The model is read on the driver and travels with the tasks.
     """
-    spark = docs.sparkSession
-    arrow_batches(spark, 500)
-    model = spark.sparkContext.broadcast(PieceModel.load(model_path))
-    base = docs.drop("ids", "decoded")
+    arrow_batches(docs.sparkSession)
+    model = docs.sparkSession.sparkContext.broadcast(PieceModel.load(model_path))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[list[str]]) -> Iterator[pa.Array]:
         own = codec(model.value)
-        for batch in batches:
-            texts = [x or "" for x in batch.column(text_col).to_pylist()]
-            for a, b in pieces(texts, 4_000_000):
+        for texts in batches:
+            for a, b in pieces(texts):
                 ids, ends = own.encode_many(texts[a:b])
-                every = ids.tolist()
-                decoded = [own.decode(every[i:j]) for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-                columns = [*batch.slice(a, b - a).columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())), pa.array(decoded, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "ids", "decoded"])
-
-    from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+                decoded = [own.decode(ids[i:j].tolist()) for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())), pa.array(decoded, pa.string())], ["ids", "decoded"])
 
-    schema = StructType([*base.schema.fields, StructField("ids", ArrayType(IntegerType(), False)), StructField("decoded", StringType())])
-    return base.mapInArrow(run, schema)
+    both = unused(docs, "__encoded")
+    out = docs.withColumn(both, of_texts(run, "struct<ids:array<int>,decoded:string>")(F.col(f"`{text_col}`")))
+    return with_last(out, ids=F.col(both)["ids"], decoded=F.col(both)["decoded"]).drop(both)

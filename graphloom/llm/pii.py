@@ -314,7 +314,7 @@ def find_pii(docs: DataFrame, text_col: str = "text", field: Field | None = None
     no spans; texts are read whole; repeated rows each get their spans; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    arrow_batches(spark, 1000)
+    arrow_batches(spark)
     shared = spark.sparkContext.broadcast(field or trained())
     rows = docs.drop("spans")
 

@@ -18,9 +18,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql import functions as F
 
-from .common import arrow_batches, pieces
+from .common import arrow_batches, kept_in_worker, of_texts, pieces, with_last
 from .labelled import labelled_sample
 
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
@@ -44,7 +44,7 @@ class Words:
     """Numbers of words; the same token always has the same number."""
 
     numbers: dict[str, int]
-    most_kept: int = 400_000
+    most_kept: int = 100_000
     seen: dict[str, int] = field(default_factory=dict)
 
     def __getstate__(self) -> dict:
@@ -189,15 +189,13 @@ def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text",
     column of the input named ``score_col`` is replaced. Repeated rows each get their score; an empty
     table gives an empty result. Without labelled rows of both kinds, all scores are label 1's share.
     """
-    spark = docs.sparkSession
-    arrow_batches(spark, 1000)
-    shared = spark.sparkContext.broadcast(model)
-    rows = docs.drop(score_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        for batch in batches:
-            scores = own.scores([x or "" for x in batch.column(text_col).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, score_col])
-
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(score_col, DoubleType())]))
+    arrow_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[list[str]]) -> Iterator[pa.Array]:
+        own = kept_in_worker(f"quality {shared.id}", lambda: shared.value)
+        for texts in batches:
+            yield pa.array(own.scores(texts), pa.float64())
+        own.words.seen.clear()
+
+    return with_last(docs, **{score_col: of_texts(run, "double")(F.col(f"`{text_col}`"))})

@@ -123,7 +123,7 @@ def write_warc(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", ur
     gives an empty manifest.
     """
     spark = pages.sparkSession
-    arrow_batches(spark, 500)
+    arrow_batches(spark)
     folder = f"{shared_folder(spark)}/warc"
     rows = pages.select(F.col(id_col).alias("page"), whole(url_col).alias("url"), whole(html_col).alias("html"))
     digest = F.sha1("html").alias("digest")
