@@ -9,6 +9,7 @@ The network gives a logit, and a temperature fitted on rows set aside makes it a
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -190,10 +191,10 @@ def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text",
     table gives an empty result. Without labelled rows of both kinds, all scores are label 1's share.
     """
     arrow_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator[list[str]]) -> Iterator[pa.Array]:
-        own = kept_in_worker(f"quality {shared.id}", lambda: shared.value)
+        own = kept_in_worker(f"quality {key}", lambda: shared.value)
         for texts in batches:
             yield pa.array(own.scores(texts), pa.float64())
         own.words.seen.clear()

@@ -8,6 +8,7 @@ document scores as its worst window. It is trained in numpy, on the worst window
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -232,10 +233,10 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, text_col: str = "text", s
     scores are label 1's share.
     """
     arrow_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator[list[str]]) -> Iterator[pa.Array]:
-        own = kept_in_worker(f"toxicity {shared.id}", lambda: shared.value)
+        own = kept_in_worker(f"toxicity {key}", lambda: shared.value)
         for texts in batches:
             yield pa.array(own.scores(texts), pa.float64())
 
