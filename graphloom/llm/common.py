@@ -50,6 +50,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def share_join(rows: DataFrame, side: DataFrame, key: str, n: str, how: str = "inner", heavy: int = 1024) -> DataFrame:
+    """``rows`` joined to ``side``, which has one row for each ``key`` and in ``n`` how many of the rows have it.
+
+    Keys with more than 1/heavy of all those rows, of which there are fewer than ``heavy``, meet by a
+    broadcast; the others by a shuffle, so that no key brings more than that share to one task. Both are
+    read twice, so they should be written tables.
+    """
+    total = side.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    hot = F.col(n) * heavy > total
+    few = F.broadcast(side.where(hot))
+    rest = rows.join(F.broadcast(side.where(hot).select(key)), key, "left_anti").join(side.where(~hot), key, how)
+    return rows.join(few, key).unionByName(rest)
+
+
 def whole(text: str | Column) -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
@@ -107,6 +121,13 @@ def of_texts(run: Callable[[Iterator[list[str]]], Iterator[pa.Array]], kind: str
     return F.arrow_udf(each, returnType=kind).asNondeterministic()
 
 
+def without_rows(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The input's rows, with its columns, whose key (k1: the id as text, k2: the text's hash) isn't in ``gone``."""
+    a, b = unused(docs, "__k1"), unused(docs, "__k2")
+    rows = docs.withColumns({a: whole(F.col(f"`{id_col}`").cast("string")), b: F.xxhash64(F.col(f"`{text_col}`"))})
+    return rows.join(gone.select(F.col("k1").alias(a), F.col("k2").alias(b)), [a, b], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def with_last(docs: DataFrame, **columns: Column) -> DataFrame:
     """The input's columns and new ones after them; columns of the same names are replaced."""
     fresh = {x.lower() for x in columns}

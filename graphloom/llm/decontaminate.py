@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole, written
+from .common import share_join, whole, without_rows, written
 
 #: 1: the word counts, 0: it is ignored. Replacing every third, fourth or later word leaves hits.
 MASKS = ("1110111", "11011011", "1101011")
@@ -76,6 +76,17 @@ def sieved(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     return rows
 
 
+def met(sown: DataFrame, own: DataFrame) -> DataFrame:
+    """Places of documents and items with the same seed. A phrase that many share meets in blocks of about 4,096 places by 256."""
+    count = lambda of, n: of.groupBy("seed").agg(F.count(F.lit(1)).alias(n))
+    both = count(sown, "n").join(count(own, "m"), "seed")
+    both = written(both.withColumns({"across": F.ceil(F.col("n") / 4096), "down": F.ceil(F.col("m") / 256)}), "shared_seeds")
+    block = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    left = share_join(sown, both.drop("m"), "seed", "n").select(*ROW, "at", "seed", F.pmod(F.xxhash64(*ROW, "at"), F.col("across")).alias("a"), block("down").alias("b"))
+    right = share_join(own, both.drop("n"), "seed", "m").select("item", "item_at", "seed", block("across").alias("a"), F.pmod(F.xxhash64("item", "item_at"), F.col("down")).alias("b"))
+    return left.join(right, ["seed", "a", "b"])
+
+
 def codes(text: Column) -> Column:
     return F.transform(tokens(text), lambda x: F.xxhash64(x))
 
@@ -91,7 +102,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
     own = written(seeds(items, ["item"]).select("seed", "item", F.col("at").alias("item_at")), "item_seeds")
     bits = words_of(items)
     marked = rows.withColumn("codes", F.transform(tokens(F.col("text")), lambda x: F.when(known(F.xxhash64(x), bits), F.xxhash64(x))))
-    found = sieved(seeds(marked, ROW), own, "seed").join(own, "seed")
+    found = met(written(sieved(seeds(marked, ROW), own, "seed"), "sown"), own)
     lain = written(found.select(*ROW, "item", (F.col("at") - F.col("item_at")).alias("offset")).distinct(), "offsets")
     hit = sieved(rows, lain.select("k2"), "k2").join(lain.select(*ROW).distinct(), ROW, "left_semi").dropDuplicates(ROW).select(*ROW, codes(F.col("text")).alias("codes"))
     laid = lain.join(hit, ROW).join(items.select("item", F.col("codes").alias("words")), "item")
@@ -132,6 +143,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits: object) -> DataFrame:
     """The input's rows, with its columns, that no item contaminates."""
-    gone = decontaminate(docs, benchmark, id_col, text_col, **limits).where("contaminated").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct()
-    rows = docs.withColumns({"__k1": whole(F.col(id_col).cast("string")), "__k2": F.xxhash64(F.col(text_col))})
-    return rows.join(gone, ["__k1", "__k2"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = decontaminate(docs, benchmark, id_col, text_col, **limits).where("contaminated").select("k1", "k2").distinct()
+    return without_rows(docs, gone, id_col, text_col)

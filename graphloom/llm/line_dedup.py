@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, lower_ascii, whole, written
+from .common import BLANKS, lower_ascii, unused, whole, written
 
 KEY = ("h1", "h2")
 
@@ -42,7 +42,7 @@ def dropped_positions(docs: DataFrame, row: list[str], text: Column, min_chars:
     return found.groupBy(*row).agg(F.collect_set("at").alias("__gone"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 1, min_docs: int = 10) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 1, min_docs: int = 10, heavy: int = 4096) -> DataFrame:
     """Drops, in every document, the lines whose key is found in ``min_docs`` documents or more.
 
     A key is the line without blanks ([\\x20\\x09-\\x0D]) at its ends and with A-Z lower-cased;
@@ -53,12 +53,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     or are null. An empty table gives an empty result.
     """
     base = docs.drop("n_lines", "n_dropped")
-    row = ["__id", "__hash"]  # rows that agree in both have the same text, and so the same positions
-    numbered = base.withColumns({"__id": whole(F.col(id_col).cast("string")), "__hash": F.xxhash64(F.col(text_col))})
-    gone = dropped_positions(numbered.select(*row, text_col), row, whole(text_col), min_chars, min_docs)
+    row = [unused(docs, "__id"), unused(docs, "__hash")]  # rows that agree in both have the same text, and so the same positions
+    gone_, lines_, text_ = (unused(docs, x) for x in ("__gone", "__lines", "__text"))
+    numbered = base.withColumns({row[0]: whole(F.col(id_col).cast("string")), row[1]: F.xxhash64(F.col(text_col))})
+    gone = dropped_positions(numbered.select(*row, text_col), row, whole(text_col), min_chars, min_docs, heavy).withColumnRenamed("__gone", gone_)
     lines = F.split(whole(text_col), "\n")
-    joined = numbered.join(gone, row, "left").withColumn("__lines", lines)
-    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
-    out = joined.withColumn("__text", F.when(F.col("__gone").isNull(), whole(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("__lines"), i)), "\n")))
-    columns = [F.col("__text").alias(text_col) if c == text_col else F.col(f"`{c}`") for c in base.columns]
-    return out.select(*columns, F.size("__lines").cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_dropped"))
+    joined = numbered.join(gone, row, "left").withColumn(lines_, lines)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines_) - 1), F.col(gone_))
+    out = joined.withColumn(text_, F.when(F.col(gone_).isNull(), whole(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col(lines_), i)), "\n")))
+    columns = [F.col(text_).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in base.columns]
+    return out.select(*columns, F.size(lines_).cast("long").alias("n_lines"), F.coalesce(F.size(gone_), F.lit(0)).cast("long").alias("n_dropped"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, kept_in_worker, pieces, whole, written
+from .common import arrow_batches, kept_in_worker, pieces, share_join, whole, without_rows, written
 from .graph import components
 
 U = np.uint64
@@ -108,8 +108,8 @@ BUCKETS = 1 << 20
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows with a key of their own, which needs no unique ids."""
-    return docs.withColumns({"k1": whole(F.col(id_col).cast("string")), "k2": F.xxhash64(F.col(text_col))})
+    """(k1, k2, id, __text): the rows with a key of their own, which needs no unique ids."""
+    return docs.select(whole(F.col(id_col).cast("string")).alias("k1"), F.xxhash64(text_col).alias("k2"), F.col(id_col).alias("id"), F.col(text_col).alias("__text"))
 
 
 def only(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
@@ -137,8 +137,7 @@ def nodes_of(docs: DataFrame, id_col: str, text_col: str, size: int, coordinates
                 yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "id", "n", "node", "buckets"])
 
     kind = dict(docs.dtypes)[id_col]
-    rows_ = keyed(docs, id_col, text_col).select("k1", "k2", F.col(id_col).alias("id"), F.col(text_col).alias("__text"))
-    return rows_.mapInArrow(run, f"k1 string, k2 long, id {kind}, n long, node binary, buckets array<long>")
+    return keyed(docs, id_col, text_col).mapInArrow(run, f"k1 string, k2 long, id {kind}, n long, node binary, buckets array<long>")
 
 
 def sets_of(docs: DataFrame, id_col: str, text_col: str, size: int, wanted: DataFrame) -> DataFrame:
@@ -152,7 +151,7 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, size: int, wanted: Data
                 yield pa.RecordBatch.from_arrays([pa.array([fingerprint(x) for x in sets], pa.binary()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["node", "items"])
 
     rows = only(keyed(docs, id_col, text_col), "k2", wanted).join(wanted.select(*ROW), ROW, "left_semi")
-    return rows.select(F.col(text_col).alias("__text")).mapInArrow(run, "node binary, items array<long>").dropDuplicates(["node"])
+    return rows.select("__text").mapInArrow(run, "node binary, items array<long>").dropDuplicates(["node"])
 
 
 def arrays(column: pa.ListArray) -> list[np.ndarray]:
@@ -212,21 +211,24 @@ def chunk(key: str, many: Column) -> Column:
 def links_of(hits: DataFrame, sets: DataFrame, percent: int, partitions: int) -> DataFrame:
     """(node, label) of all nodes that a chain of verified links joins to another; hits: (bucket, node, size)."""
     score = hits.groupBy("node").agg(F.sum("size").alias("score"))
-    leaders = hits.join(score, "node").groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("top")).select("bucket", F.col("top.node").alias("leader"))
-    pairs = written(hits.join(leaders, "bucket").where("node != leader").select("leader", "node").distinct(), "pairs")
+    top = hits.join(score, "node").groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("top"), F.max("size").alias("n"))
+    leaders = written(top.select("bucket", F.col("top.node").alias("leader"), "n"), "leaders")
+    pairs = written(share_join(hits.select("bucket", "node"), leaders, "bucket", "n").where("node != leader").select("leader", "node").distinct(), "pairs")
     # a leader of very many is met by 1000 of them at a time
-    many = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / 1000).alias("many"))
-    right = pairs.join(many, "leader").select(F.col("leader").alias("g1"), chunk("node", F.col("many")).alias("g2"), F.lit(0).cast("long").alias("g3"), F.lit(1).alias("side"), "node", F.col("node").alias("label"))
+    many = written(pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).withColumn("many", F.ceil(F.col("n") / 1000)), "many")
+    right = share_join(pairs, many, "leader", "n").select(F.col("leader").alias("g1"), chunk("node", F.col("many")).alias("g2"), F.lit(0).cast("long").alias("g3"), F.lit(1).alias("side"), "node", F.col("node").alias("label"))
     left = many.select(F.col("leader").alias("g1"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1)).alias("g2"), F.lit(0).cast("long").alias("g3"), F.lit(0).alias("side"), F.col("leader").alias("node"), F.col("leader").alias("label"))
     first = components(verified(left.unionByName(right), sets, percent, partitions))
     # buckets with more than one component: all that isn't of the largest meets all others
-    placed = hits.join(first, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    placed = written(hits.join(first, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")), "placed")
     parts = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.xxhash64("node", F.lit(i)) % (1 << 40)).alias(f"mark{i}") for i in (1, 2)])
     mixed = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("size"), F.sum("mark1").alias("mark1"), F.sum("mark2").alias("mark2"), F.max(F.struct("n", "label")).alias("top")).where("labels > 1")
     # of buckets with the same nodes one is enough
     mixed = mixed.groupBy("size", "mark1", "mark2", "top").agg(F.min("bucket").alias("bucket")).select("bucket", "size", F.col("top.label").alias("main"), (F.col("size") - F.col("top.n")).alias("others"))
-    mixed = mixed.withColumns({"lefts": F.ceil(F.col("others") / 256), "rights": F.ceil(F.col("size") / 1024)})
-    rest = placed.join(mixed, "bucket").withColumn("aside", F.col("label") != F.col("main"))
+    mixed = written(mixed.withColumns({"lefts": F.ceil(F.col("others") / 256), "rights": F.ceil(F.col("size") / 1024)}), "mixed")
+    if mixed.isEmpty():
+        return first
+    rest = share_join(placed, mixed, "bucket", "size").withColumn("aside", F.col("label") != F.col("main"))
     key = F.col("bucket").cast("string").cast("binary").alias("g1")
     blocks = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     left = rest.where("aside").select(key, chunk("node", F.col("lefts")).alias("g2"), blocks("rights").alias("g3"), F.lit(0).alias("side"), "node", "label")
@@ -239,8 +241,9 @@ def links_of(hits: DataFrame, sets: DataFrame, percent: int, partitions: int) ->
     upper = components(joined.select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")))
     # what the second links touch, and what the first had joined to it
     named = first.unionByName(upper.select("node", F.col("node").alias("label")).join(first, "node", "left_anti"))
-    root = upper.select(F.col("node").alias("label"), F.col("label").alias("root"))
-    return named.join(root, "label", "left").select("node", F.coalesce("root", "label").alias("label"))
+    sizes = named.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    root = written(sizes.join(upper.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left"), "roots")
+    return share_join(written(named, "named"), root, "label", "n").select("node", F.coalesce("root", "label").alias("label"))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, coordinates: int = 192, rows: int = 6) -> DataFrame:
@@ -251,18 +254,21 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = written(nodes_of(docs.select(id_col, text_col), id_col, text_col, size, coordinates, rows), "nodes")
     full = own.where("n > 0")
     # one row for each distinct set: its smallest id, and one of its rows
-    groups = full.groupBy("node").agg(F.min("id").alias("low"), F.min(F.struct("k1", "k2")).alias("row"), F.first("buckets").alias("buckets"))
+    groups = full.groupBy("node").agg(F.min("id").alias("low"), F.min(F.struct("k1", "k2")).alias("row"), F.first("buckets").alias("buckets"), F.count(F.lit(1)).alias("n"))
     groups = written(groups, "groups")
     exploded = groups.select("node", F.explode("buckets").alias("bucket"))
-    shared = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    hits = written(exploded.join(shared, "bucket"), "hits")
+    shared = written(exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shared")
+    hits = written(share_join(exploded, shared, "bucket", "size").select("node", "bucket", "size"), "hits")
     wanted = groups.join(hits.select("node").distinct(), "node", "left_semi").select("row.k1", "row.k2")
     sets = written(sets_of(docs.select(id_col, text_col), id_col, text_col, size, written(wanted, "wanted")), "sets")
     labels = written(links_of(hits, sets, percent, partitions), "components")
-    lowest = groups.join(labels, "node").groupBy("label").agg(F.min("low").alias("component_id"))
-    named = groups.join(labels, "node", "left").join(lowest, "label", "left").select("node", F.coalesce("component_id", "low").alias("component_id"))
-    joined = own.join(named, "node", "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
+    lows = written(groups.select("node", "low").join(labels, "node"), "lows")
+    lowest = written(lows.groupBy("label").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("n")), "lowest")
+    found = share_join(lows, lowest, "label", "n").select("node", "component_id")
+    named = groups.select("node", "low", "n").join(found, "node", "left").select("node", F.coalesce("component_id", "low").alias("component_id"), F.col("n").alias("copies"))
+    joined = share_join(full, written(named, "named"), "node", "copies").select("k1", "k2", "id", "n", "component_id")
+    joined = joined.unionByName(own.where("n = 0").select("k1", "k2", "id", "n", F.col("id").alias("component_id")))
+    component = F.col("component_id")
     return joined.select("k1", "k2", "id", "n", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
@@ -282,6 +288,5 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """The input's rows that near_dedup keeps, with the input's columns."""
-    gone = written(near_groups(docs, id_col, text_col, size, percent).where(~F.col("kept")).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")), "gone")
-    rows = docs.withColumns({"__k1": whole(F.col(id_col).cast("string")), "__k2": F.xxhash64(F.col(text_col))})
-    return rows.join(gone, ["__k1", "__k2"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = near_groups(docs, id_col, text_col, size, percent).where(~F.col("kept")).select("k1", "k2")
+    return without_rows(docs, written(gone, "gone"), id_col, text_col)

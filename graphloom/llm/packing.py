@@ -18,10 +18,15 @@ import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import arrow_batches, kept_in_worker, pieces, shared_folder
 
 
+#: Types of document ids.
+_ID = {"bigint": pa.int64(), "string": pa.string()}
+
+
 class CapacityTree:
     """Counts of open rows by the room they have left; finds the least room of at least a size."""
 
@@ -97,10 +102,10 @@ def _encoding(t: RankTokenizer) -> tiktoken.Encoding:
     return kept_in_worker(f"packing {t.key}", lambda: tiktoken.Encoding("own", pat_str=t.pattern, mergeable_ranks=t.ranks, special_tokens={}))
 
 
-SCHEMA = "block string, row long, n_tokens int, doc_ids array<long>, doc_starts array<long>, cu_seqlens array<int>, input_ids binary, position_ids binary"
+SCHEMA = "block string, row long, n_tokens int, doc_ids array<{id}>, doc_starts array<long>, cu_seqlens array<int>, input_ids binary, position_ids binary"
 
 
-def packed_block(name: str, ids: list[np.ndarray], docs: list[int], width: int, end: int) -> pa.RecordBatch:
+def packed_block(name: str, ids: list[np.ndarray], docs: list, width: int, end: int, kind: str = "bigint") -> pa.RecordBatch:
     """Packs one block of documents; empty places hold the end id, at positions of their own from 0."""
     items = [(d, a, b) for d, own in enumerate(ids) for a, b in segments(len(own), width)]
     rows = best_fit_decreasing([b - a for _, a, b in items], width)
@@ -119,7 +124,7 @@ def packed_block(name: str, ids: list[np.ndarray], docs: list[int], width: int,
         held.append([docs[items[i][0]] for i in row])
         starts.append([items[i][1] for i in row])
         used.append(at)
-    columns = [pa.array([name] * len(rows)), pa.array(range(len(rows)), pa.int64()), pa.array(used, pa.int32()), pa.array(held, pa.list_(pa.int64())), pa.array(starts, pa.list_(pa.int64())), pa.array(lengths, pa.list_(pa.int32())), pa.array([x.tobytes() for x in matrix], pa.binary()), pa.array([x.tobytes() for x in places], pa.binary())]
+    columns = [pa.array([name] * len(rows)), pa.array(range(len(rows)), pa.int64()), pa.array(used, pa.int32()), pa.array(held, pa.list_(_ID[kind])), pa.array(starts, pa.list_(pa.int64())), pa.array(lengths, pa.list_(pa.int32())), pa.array([x.tobytes() for x in matrix], pa.binary()), pa.array([x.tobytes() for x in places], pa.binary())]
     return pa.RecordBatch.from_arrays(columns, ["block", "row", "n_tokens", "doc_ids", "doc_starts", "cu_seqlens", "input_ids", "position_ids"])
 
 
@@ -130,18 +135,19 @@ def pack(docs: DataFrame, tokenizer: RankTokenizer, width: int = 2048, id_col: s
     the end id fills what is left) and position_ids (32 bits, from 0 anew in each segment).
 
     Every document ends with the end id, so a null or empty text is that one token. Rows that
-    repeat are packed each; a null id stays null. Other columns are not read. Blocks hold
+    repeat are packed each; a null id stays null. Ids are strings, or else whole numbers. Other columns are not read. Blocks hold
     ``block_tokens`` tokens or one document, which bounds memory. An empty table gives no rows.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
+    kind = "string" if dict(docs.dtypes)[id_col] == "string" else "bigint"
     shared = spark.sparkContext.broadcast(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, end, made = _encoding(shared.value), shared.value.end, 0
         part = TaskContext.get().partitionId()
         ids: list[np.ndarray] = []
-        names: list[int] = []
+        names: list = []
         held = 0
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
@@ -153,12 +159,12 @@ def pack(docs: DataFrame, tokenizer: RankTokenizer, width: int = 2048, id_col: s
                     names.append(n)
                     held += len(x)
                     if held >= block_tokens:
-                        yield packed_block(f"{part:06d}-{made:05d}", ids, names, width, end)
+                        yield packed_block(f"{part:06d}-{made:05d}", ids, names, width, end, kind)
                         ids, names, held, made = [], [], 0, made + 1
         if ids:
-            yield packed_block(f"{part:06d}-{made:05d}", ids, names, width, end)
+            yield packed_block(f"{part:06d}-{made:05d}", ids, names, width, end, kind)
 
-    return docs.select(id_col, text_col).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast(kind), text_col).mapInArrow(run, SCHEMA.format(id=kind))
 
 
 def _place(width: int) -> type:
@@ -170,13 +176,14 @@ def write_packed(packed: DataFrame, folder: str | None = None) -> str:
     """Writes the packed rows as files of each block, side by side below ``folder`` (a shared one
     by default): ids.bin and positions.bin (matrices; positions of 16 bits up to a width of 65,536, else 32), cu_seqlens.bin (32 bits each, row after row),
     rows.bin (the number of cu_seqlens entries of each row) and docs.bin (of each row: its number in
-    its block, then its segments' document ids and starts, 64 bits each, then a byte each, 1 for an id
-    that isn't null; then the length of the block's name, 32 bits, and the name). Returns the folder.
+    its block, then its segments' starts and document ids, 64 bits each, or for ids that are strings
+    their lengths in bytes and after them the bytes, then a byte each, 1 for an id that isn't null; then the length of the block's name, 32 bits, and the name). Returns the folder.
 
     Blocks are written again whole if a task is repeated, under a name of that attempt; the
     manifest in ``folder``/manifest lists those that count.
     """
     folder = folder or shared_folder(packed.sparkSession)
+    text = dict(packed.dtypes)["doc_ids"] == "array<string>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -193,7 +200,9 @@ def write_packed(packed: DataFrame, folder: str | None = None) -> str:
                     places.write(one.astype(_place(len(one))).tobytes())
                     cuts.write(np.array(c, np.int32).tobytes())
                     sizes.write(np.array([len(c)], np.int32).tobytes())
-                    held.write(np.array([row, *(d or 0 for d in docs), *starts], np.int64).tobytes() + bytes(d is not None for d in docs))
+                    names = [x.encode() for x in docs if isinstance(x, str)]
+                    numbers = [len((x or "").encode()) for x in docs] if text else [x or 0 for x in docs]
+                    held.write(np.array([row, *starts, *numbers], np.int64).tobytes() + b"".join(names) + bytes(x is not None for x in docs))
                     held.write(np.array([len(block.encode())], np.int32).tobytes() + block.encode())
                     rows += 1
         yield pa.RecordBatch.from_arrays([pa.array([name.rsplit("/", 1)[1]]), pa.array([rows], pa.int64())], ["part", "rows"])
@@ -222,14 +231,14 @@ def read_packed(spark: SparkSession, folder: str, width: int, id_bytes: int = 2)
     return spark.read.parquet(f"{folder}/manifest").mapInArrow(run, "part string, row long, ids array<int>, positions array<int>, cu_seqlens array<int>")
 
 
-def read_packed_rows(spark: SparkSession, folder: str, width: int, id_bytes: int = 2, batch_rows: int = 64) -> DataFrame:
-    """The rows of pack(), with all its columns, from files that write_packed wrote; a file that ends early is an error."""
+def read_packed_rows(spark: SparkSession, folder: str, width: int, id_bytes: int = 2, batch_rows: int = 64, id_type: str = "bigint") -> DataFrame:
+    """The rows of pack(), with all its columns (document ids of ``id_type``, bigint or string), from files that write_packed wrote; a file that ends early is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(folder)
-        kinds = {"block": pa.string(), "row": pa.int64(), "n_tokens": pa.int32(), "doc_ids": pa.list_(pa.int64()), "doc_starts": pa.list_(pa.int64()), "cu_seqlens": pa.list_(pa.int32()), "input_ids": pa.binary(), "position_ids": pa.binary()}
+        kinds = {"block": pa.string(), "row": pa.int64(), "n_tokens": pa.int32(), "doc_ids": pa.list_(_ID[id_type]), "doc_starts": pa.list_(pa.int64()), "cu_seqlens": pa.list_(pa.int32()), "input_ids": pa.binary(), "position_ids": pa.binary()}
         made = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], list(kinds))
         for batch in batches:
             for part, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -246,13 +255,14 @@ def read_packed_rows(spark: SparkSession, folder: str, width: int, id_bytes: int
                     m = int(np.frombuffer(take("rows", 4), np.int32)[0])
                     cuts = np.frombuffer(take("cu_seqlens", 4 * m), np.int32)
                     row, *held = np.frombuffer(take("docs", 8 * (2 * m - 1)), np.int64).tolist()
-                    docs = [d if there else None for d, there in zip(held[: m - 1], take("docs", m - 1), strict=True)]
+                    names = [take("docs", x).decode() for x in held[m - 1 :]] if id_type == "string" else held[m - 1 :]
+                    docs = [x if there else None for x, there in zip(names, take("docs", m - 1), strict=True)]
                     block = take("docs", int(np.frombuffer(take("docs", 4), np.int32)[0])).decode()
-                    rows.append((block, row, int(cuts[-1]), docs, held[m - 1 :], cuts, take("ids", width * id_bytes), np.frombuffer(take("positions", width * np.dtype(_place(width)).itemsize), _place(width)).astype(np.int32).tobytes()))
+                    rows.append((block, row, int(cuts[-1]), docs, held[: m - 1], cuts, take("ids", width * id_bytes), np.frombuffer(take("positions", width * np.dtype(_place(width)).itemsize), _place(width)).astype(np.int32).tobytes()))
                     if len(rows) == batch_rows:
                         yield made(rows)
                         rows = []
                 if rows:
                     yield made(rows)
 
-    return spark.read.parquet(f"{folder}/manifest").mapInArrow(run, SCHEMA)
+    return spark.read.parquet(f"{folder}/manifest").mapInArrow(run, SCHEMA.format(id=id_type))

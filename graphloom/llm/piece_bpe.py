@@ -58,7 +58,7 @@ class PieceModel:
 @dataclass
 class Codec:
     model: PieceModel
-    most_bytes: int = 40_000_000  # of new known parts, about; as many old ones stay beside them
+    most_bytes: int = 60_000_000  # of new known parts, about; as many old ones stay beside them
     most_pairs: int = 200_000
     scores: dict[str, float] = field(init=False)
 

@@ -1,33 +1,36 @@
 """Personal data in texts: exact patterns, and a semi-Markov conditional random field beside them.
 
 The patterns give the base spans. The field looks at the stretches around digits and "@": every
-span of up to ``MOST`` tokens there is a candidate segment, scored by features of the whole span
-(shape, checksum, what stands left and right of it), and one dynamic programme chooses boundaries
-and types together. Elsewhere no segment may be an entity, so the stretches are independent and
+span of up to ``MOST`` tokens there that has one of the shapes is a candidate segment, scored by
+features of the whole span (shapes, checksum, what stands left and right of it), and one dynamic
+programme chooses boundaries and types together. It passes long stretches in blocks, in flat memory. Elsewhere no segment may be an entity, so the stretches are independent and
 the result is that of the whole text. The field is trained here on sentences made from templates.
 """
 
 from __future__ import annotations
 
+import math
 import random
 import re
+from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
+from pyspark.sql import functions as F
 
-from .common import arrow_batches
+from .common import arrow_batches, kept_in_worker, of_texts, with_last
 
 # The kinds in their order and the base patterns.
 KINDS = ("email", "ip", "card", "phone")
 EMAIL_RIGHT = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-EMAIL_LEFT = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 # A match never starts inside a run of digits: where the run's start fails, its rest does too.
 IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+# The card pattern is [0-9]([\x20-]?[0-9])+, read run by run so that a long match needs no stack.
+CARD = re.compile(r"[0-9]++(?:[\x20-][0-9]++)*+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 Span = tuple[str, int, int]
@@ -69,7 +72,7 @@ def base_spans(text: str) -> list[Span]:
     found = list(emails(text))
     found += [("ip", *m.span()) for m in IP.finditer(text) if is_ip(m[0])]
     for m in CARD.finditer(text):
-        if 14 <= len(d := digits_of(m[0])) <= 19 and luhn(d):
+        if m.end() - m.start() < 40 and 14 <= len(d := digits_of(m[0])) <= 19 and luhn(d):
             found.append(("card", *m.span()))
     found += [("phone", *m.span()) for m in PHONE.finditer(text) if 10 <= len(digits_of(m[0])) <= 15]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
@@ -80,6 +83,7 @@ def base_spans(text: str) -> list[Span]:
 LABELS = (*KINDS, "secret")
 OUTSIDE = len(LABELS)
 MOST = 20
+LONGEST = 512
 TOKEN = re.compile(r"\w+|\s|[^\w\s]")
 TRIGGER = re.compile(r"[0-9@]")
 CUE = re.compile(r"(?i)(pass(word|wd)?|pwd|secret|token|api_?key|key)\W{0,4}\Z")
@@ -94,19 +98,20 @@ SHAPES = (
     re.compile(r"[0-9]+"),
 )
 N_FEATURES = len(SHAPES) + 13
+ANY_SHAPE = re.compile("|".join(f"(?:{x.pattern})" for x in SHAPES))
 
 
-def features(text: str, start: int, end: int, tokens: int) -> np.ndarray:
+def features(text: str, start: int, end: int, tokens: int) -> list[float]:
     """Of the whole span: its shapes and checks, its length, and what stands around it."""
     own, left, right = text[start:end], text[max(0, start - 16) : start], text[end : end + 2]
     digits = digits_of(own)
     shape = [bool(x.fullmatch(own)) for x in SHAPES]
     cue = bool(CUE.search(left))
-    return np.array([
+    return [
         1, *shape, shape[1] and is_ip(own), shape[2] and luhn(digits), shape[3] and 10 <= len(digits) <= 15,
         cue, cue and any(shape[4:7]), left[-1:].isalnum() or left[-1:] in ("_", "@", "+") and bool(left), right[:1].isalnum() or right[:1] in ("_", "@") and bool(right),
         " " in own, tokens > 1, len(digits) * 2 >= len(own), right[:1] in ("-", ".") and right[1:].isalnum(), left[-1:] in ("-", "."),
-    ], np.float32)
+    ]
 
 
 def stretches(text: str) -> Iterator[tuple[int, int]]:
@@ -131,28 +136,62 @@ def stretches(text: str) -> Iterator[tuple[int, int]]:
         yield start, end
 
 
+class Tokens:
+    """A stretch's tokens, numbered from 0, and its candidate segments: spans of up to MOST tokens and
+    LONGEST code points that have one of the shapes."""
+
+    def __init__(self, text: str, start: int, end: int) -> None:
+        self.text, self.found = text, TOKEN.finditer(text, start, end)
+        self.cuts: deque[tuple[int, int]] = deque()
+        self.opens: deque[bool] = deque()  # whether a candidate may begin with the token
+        self.first = self.n = 0  # tokens from ``first`` to ``n`` are held
+
+    def take(self, most: int) -> int:
+        """Reads up to ``most`` tokens more; how many there were."""
+        got = 0
+        for m in islice(self.found, most):
+            x = m[0]
+            self.cuts.append(m.span())
+            self.opens.append(x == "+" or x[0].isalnum())
+            got += 1
+        self.n += got
+        return got
+
+    def forget(self, before: int) -> None:
+        while self.first < before:
+            self.cuts.popleft()
+            self.opens.popleft()
+            self.first += 1
+
+    def ending(self, j: int) -> Iterator[tuple[int, list[float]]]:
+        """The candidates whose last token is number j - 1, the shortest first: (first token, features)."""
+        start, end = self.cuts[j - 1 - self.first]
+        if not self.text[start].isalnum():
+            return
+        text, apart = self.text, False
+        for i in range(j - 1, max(-1, j - 1 - MOST), -1):
+            start = self.cuts[i - self.first][0]
+            if end - start > LONGEST:
+                return
+            apart |= text[start].isspace()
+            if apart and text[start] != "+" and end - start > 40:
+                continue  # no shape with blanks is so long
+            if self.opens[i - self.first] and ANY_SHAPE.fullmatch(self.text, start, end):
+                yield i, features(self.text, start, end, j - i)
+
+
 class Lattice:
-    """A stretch's tokens and its candidate segments with their features."""
+    """A short stretch's tokens and candidates, all at once, to train on."""
 
     def __init__(self, text: str, start: int, end: int) -> None:
-        self.cuts = [m.span() for m in TOKEN.finditer(text, start, end)]
-        self.spans: list[list[int]] = [[] for _ in range(len(self.cuts) + 1)]  # by end, where they start
-        self.rows: list[list[int]] = [[] for _ in range(len(self.cuts) + 1)]
-        rows, bare = [], []
-        for a, b in self.cuts:
-            x = text[a:b]
-            bare.append((x[0].isalnum() or x == "+", x[0].isalnum(), any(c in "0123456789@" for c in x)))
-        for j in range(1, len(self.cuts) + 1):
-            marked = False
-            if not bare[j - 1][1]:
-                continue
-            for i in range(j - 1, max(-1, j - 1 - MOST), -1):
-                marked |= bare[i][2]
-                if marked and bare[i][0]:
-                    self.spans[j].append(i)
-                    self.rows[j].append(len(rows))
-                    rows.append(features(text, self.cuts[i][0], self.cuts[j - 1][1], j - i))
-        self.f = np.array(rows, np.float32).reshape(-1, N_FEATURES)
+        tokens = Tokens(text, start, end)
+        n = tokens.take(10**9)
+        self.cuts = list(tokens.cuts)
+        ending = [[], *(list(tokens.ending(j)) for j in range(1, n + 1))]
+        self.spans = [[i for i, _ in x] for x in ending]  # by end, where they start
+        at = [0, *accumulate(map(len, ending))]
+        self.rows = [list(range(a, b)) for a, b in pairwise(at)]
+        self.f = np.array([f for x in ending for _, f in x], np.float32).reshape(-1, N_FEATURES)
 
 
 class Field:
@@ -162,29 +201,70 @@ class Field:
         self.w = np.zeros((len(LABELS), N_FEATURES))
         self.t = np.zeros((OUTSIDE + 1, OUTSIDE + 1))  # from, to
 
-    def best(self, x: Lattice) -> list[tuple[int, int, int]]:
-        """The segmentation of the highest score: (from token, to token, type) of its entities."""
-        n, s = len(x.cuts), x.f @ self.w.T
-        v = np.full((n + 1, OUTSIDE + 1), -np.inf)
-        v[0, OUTSIDE] = 0
-        back: dict[tuple[int, int], tuple[int, int]] = {}
-        for j in range(1, n + 1):
-            way = v[j - 1] + self.t[:, OUTSIDE]
-            k = int(way.argmax())
-            v[j, OUTSIDE], back[j, OUTSIDE] = way[k], (j - 1, k)
-            for i, r in zip(x.spans[j], x.rows[j], strict=True):
-                way = v[i][:, None] + self.t[:, :OUTSIDE]
-                k = way.argmax(0)
-                score = way[k, range(OUTSIDE)] + s[r]
-                for y in np.flatnonzero(score > v[j, :OUTSIDE]):
-                    v[j, y], back[j, int(y)] = score[y], (i, int(k[y]))
-        out, j, y = [], n, int(v[n].argmax())
-        while j:
-            i, k = back[j, y]
-            if y != OUTSIDE:
-                out.append((i, j, y))
-            j, y = i, k
-        return out[::-1]
+    def entities(self, text: str, start: int, end: int, block: int = 256) -> Iterator[Span]:
+        """The entities of a stretch's segmentation of the highest score.
+
+        The stretch passes in blocks of tokens. Scores are held for as many tokens as a segment may
+        have; back pointers go as soon as all ways that may still win agree on them.
+        """
+        tokens, kinds, types = Tokens(text, start, end), range(OUTSIDE + 1), range(OUTSIDE)
+        into = self.t.T.tolist()  # to, from
+        v = {0: [-math.inf] * OUTSIDE + [0.0]}
+        back: dict[int, list[tuple[int, int]]] = {}  # by place, of each type: the place and type before
+        root = (0, OUTSIDE)
+
+        def settled(node: tuple[int, int], cut: tuple[int, int]) -> Iterator[Span]:
+            """The entities on the way from ``root`` to ``cut``, an earlier node of the way to ``node``."""
+            nonlocal root
+            while node != cut:
+                node = back[node[0]][node[1]]
+            out = []
+            while node != root:
+                before = back[node[0]][node[1]]
+                if node[1] != OUTSIDE:
+                    out.append((LABELS[node[1]], tokens.cuts[before[0] - tokens.first][0], tokens.cuts[node[0] - 1 - tokens.first][1]))
+                node = before
+            root = cut
+            yield from reversed(out)
+
+        while got := tokens.take(block):
+            ends = range(tokens.n - got + 1, tokens.n + 1)
+            ending = [list(tokens.ending(j)) for j in ends]
+            rows = [f for x in ending for _, f in x]
+            score = iter((np.array(rows, np.float32) @ self.w.T).tolist() if rows else ())
+            enter: dict[int, list[tuple[float, int]]] = {}
+            for j, candidates in zip(ends, ending, strict=True):
+                last = v[j - 1]
+                best, k = max((last[k] + into[OUTSIDE][k], -k) for k in kinds)
+                now, ways = [-math.inf] * OUTSIDE + [best], [(0, 0)] * OUTSIDE + [(j - 1, -k)]
+                for i, _ in candidates:
+                    if i not in enter:
+                        enter[i] = [max((v[i][k] + into[y][k], -k) for k in kinds) for y in types]
+                    for y, s in zip(types, next(score), strict=True):
+                        way, k = enter[i][y]
+                        if way + s > now[y]:
+                            now[y], ways[y] = way + s, (i, -k)
+                v[j], back[j] = now, ways
+            n = tokens.n
+            for j in [j for j in v if j < n - MOST]:
+                del v[j]
+            alive = [(j, y) for j, x in v.items() for y in kinds if x[y] > -math.inf]
+            top = (n, max(kinds, key=lambda y: v[n][y]))
+            way, node = [top], top
+            while node != root:
+                node = back[node[0]][node[1]]
+                way.append(node)
+            place = {x: i for i, x in enumerate(way)}
+            deepest = 0
+            for node in alive:
+                while node not in place:
+                    node = back[node[0]][node[1]]
+                deepest = max(deepest, place[node])
+            yield from settled(top, way[deepest])
+            for j in [j for j in back if j <= root[0]]:
+                del back[j]
+            tokens.forget(min(root[0], n - MOST))
+        yield from settled(top := (tokens.n, max(kinds, key=lambda y: v[tokens.n][y])), top)
 
     def gradient(self, x: Lattice, gold: set[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
         """Of the log likelihood: what the gold segmentation has less what is expected."""
@@ -293,19 +373,18 @@ def all_spans(text: str, field: Field) -> list[tuple[str, int, int, bool]]:
     base = base_spans(text)
     taken = sorted((a, b) for _, a, b in base)
     out = [(*x, True) for x in base]
-    k = 0
+    k, reach = 0, 0  # of the base spans passed, how far they reach
     for a, b in stretches(text):
-        x = Lattice(text, a, b)
-        for i, j, y in field.best(x):
-            start, end = x.cuts[i][0], x.cuts[j - 1][1]
-            while k < len(taken) and taken[k][1] <= a:
+        for kind, start, end in field.entities(text, a, b):
+            while k < len(taken) and taken[k][0] < end:
+                reach = max(reach, taken[k][1])
                 k += 1
-            if not any(p < end and q > start for p, q in taken[k : k + 2 + j]):
-                out.append((LABELS[y], start, end, False))
+            if reach <= start:
+                out.append((kind, start, end, False))
     return sorted(out, key=lambda x: (x[1], LABELS.index(x[0])))
 
 
-SPANS = ArrayType(StructType([StructField("kind", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("base", BooleanType())]), False)
+SPANS = "array<struct<kind:string,start:int,end:int,base:boolean>>"
 
 
 def find_pii(docs: DataFrame, text_col: str = "text", field: Field | None = None) -> DataFrame:
@@ -313,16 +392,16 @@ def find_pii(docs: DataFrame, text_col: str = "text", field: Field | None = None
     exclusive, by start and kind. A column "spans" of the input is replaced. Null and empty texts have
     no spans; texts are read whole; repeated rows each get their spans; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    arrow_batches(spark)
-    shared = spark.sparkContext.broadcast(field or trained())
-    rows = docs.drop("spans")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
-        for batch in batches:
-            spans = [[dict(zip(("kind", "start", "end", "base"), s, strict=True)) for s in all_spans(x, own)] if x else [] for x in batch.column(text_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, kind)], [*batch.schema.names, "spans"])
-
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("spans", SPANS)]))
+    arrow_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(field or trained())
+
+    def run(batches: Iterator[list[str]]) -> Iterator[pa.Array]:
+        own = kept_in_worker("pii", lambda: shared.value)
+        kind = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())])
+        for texts in batches:
+            found = [all_spans(x, own) if x else [] for x in texts]
+            flat = [x for own_ in found for x in own_]
+            spans = pa.StructArray.from_arrays([pa.array([x[i] for x in flat], f.type) for i, f in enumerate(kind)], fields=list(kind))
+            yield pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, found))], pa.int32()), spans)
+
+    return with_last(docs, spans=of_texts(run, SPANS)(F.col(f"`{text_col}`")))

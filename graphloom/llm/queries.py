@@ -49,12 +49,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LINES_SQL = f"""
-lines AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS at
+lines AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS place
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM {{documents}})),
 keyed AS (SELECT *, {LOWER_SQL.format("trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM lines),
 frequent AS (SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
 kept AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE f.key IS NOT NULL) AS n_dropped,
-    coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE f.key IS NULL), '') AS text
+    coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE f.key IS NULL), '') AS text
   FROM keyed LEFT JOIN frequent f USING (key) GROUP BY doc_id)"""
 ORACLES["op4_line_dedup"] = f"WITH {LINES_SQL.format(documents='documents')} SELECT doc_id, n_lines, n_dropped, sha256(text) AS kept_sha256 FROM kept"
 
@@ -87,7 +87,8 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = read_warc(write_warc(table(spark, sf_dir, "pages"), min_bytes=0))
+    pages = table(spark, sf_dir, "pages")
+    records = read_warc(write_warc(pages, min_bytes=0), dict(pages.dtypes)["page_id"])
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem")
 
 
@@ -110,7 +111,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = lambda spans: F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])))
     count = lambda kind: F.size(F.filter("spans", lambda x: x["base"] & (x["kind"] == kind))).cast("long")
     counts = [count(k).alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"), F.size(F.filter("spans", lambda x: x["kind"] == "secret")).cast("long").alias("n_secret"))
 
 
 @query

@@ -13,6 +13,7 @@ import re
 import struct
 from collections.abc import Iterator
 from typing import BinaryIO
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import zstandard
@@ -20,10 +21,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, shared_folder, whole, written
+from .common import arrow_batches, share_join, shared_folder, whole, written
 
 DICTIONARY_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
-PAGE = "urn:page:"
+PAGE, NO_PAGE = "urn:page:", "urn:nopage"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 REQUIRED = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
 
@@ -32,14 +33,25 @@ def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record(page: object, url: str, payload: bytes, refers: object | None, date: str) -> bytes:
+def record_id(page: str | None) -> str:
+    """A page's id, whatever its text, as a name without blanks and brackets; that of a page without id is NO_PAGE."""
+    return NO_PAGE if page is None else PAGE + quote(page, safe="")
+
+
+def page_of(fields: dict, key: str) -> str | None:
+    """The id that record_id made a name of."""
+    name = fields.get(key, "")[1:-1]
+    return unquote(name.removeprefix(PAGE)) if name.startswith(PAGE) else None
+
+
+def record(page: str | None, url: str, payload: bytes, refers: str | None, date: str) -> bytes:
     """A response, or if ``refers`` is given a revisit, whose block is the response's head only."""
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = head if refers is not None else head + payload
     uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) or "urn:none"
-    fields = {"WARC-Type": "revisit" if refers is not None else "response", "WARC-Record-ID": f"<{PAGE}{'' if page is None else page}>", "WARC-Date": date, "WARC-Target-URI": uri, "WARC-Payload-Digest": f"sha1:{base32_sha1(payload)}", "WARC-Block-Digest": f"sha1:{base32_sha1(block)}", "Content-Type": "application/http;msgtype=response"}
+    fields = {"WARC-Type": "revisit" if refers is not None else "response", "WARC-Record-ID": f"<{record_id(page)}>", "WARC-Date": date, "WARC-Target-URI": uri, "WARC-Payload-Digest": f"sha1:{base32_sha1(payload)}", "WARC-Block-Digest": f"sha1:{base32_sha1(block)}", "Content-Type": "application/http;msgtype=response"}
     if refers is not None:
-        fields |= {"WARC-Refers-To": f"<{PAGE}{refers}>", "WARC-Profile": PROFILE}
+        fields |= {"WARC-Refers-To": f"<{record_id(refers)}>", "WARC-Profile": PROFILE}
     text = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()) + f"Content-Length: {len(block)}\r\n\r\n"
     return text.encode() + block + b"\r\n\r\n"
 
@@ -112,28 +124,31 @@ def parsed(data: bytes) -> dict:
     return out | {"problem": next((name for name, ok in rules if not ok), None)}
 
 
-def write_warc(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2026-01-01T00:00:00Z", archive_bytes: int = 64_000_000, sample_rows: int = 400) -> DataFrame:
+def write_warc(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2026-01-01T00:00:00Z", archive_bytes: int = 64_000_000, sample_rows: int = 400, sample_chars: int = 20_000) -> DataFrame:
     """Writes archives into the shared folder and returns their manifest (path, records).
 
     Of records with equal payloads of at least ``min_bytes`` bytes, the one with the smallest id is
     a response and the others revisit it; a null html is an empty payload. Rows that repeat the
     smallest id are responses too, and so is a row without an id. The dictionary is trained on
-    ``sample_rows`` pages (a bound, for compression only). An archive is named after the attempt
+    ``sample_chars`` of ``sample_rows`` pages (a bound, for compression only). Ids are whole numbers or
+    strings; other types are refused. An archive is named after the attempt
     that wrote it, and only the manifest's count, so a repeated task does no harm. An empty table
     gives an empty manifest.
     """
     spark = pages.sparkSession
     arrow_batches(spark)
     folder = f"{shared_folder(spark)}/warc"
+    if dict(pages.dtypes)[id_col] not in ("string", "tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{id_col} must be a whole number or a string")
     rows = pages.select(F.col(id_col).alias("page"), whole(url_col).alias("url"), whole(html_col).alias("html"))
     digest = F.sha1("html").alias("digest")
-    seen = rows.where(F.octet_length("html") >= min_bytes).select("page", digest)
-    first = seen.groupBy("digest").agg(F.min("page").alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    seen = written(rows.where(F.octet_length("html") >= min_bytes).select("page", digest), "digests")
+    first = written(seen.groupBy("digest").agg(F.min("page").alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "first")
     # only the repeats, each once, meet the pages
-    repeats = seen.join(first, "digest").where(F.col("page") != F.col("first")).groupBy("page", "digest").agg(F.min("first").alias("refers"))
-    samples = [x.html.encode()[:100_000] for x in rows.select("html").limit(sample_rows).collect()]
+    repeats = share_join(seen, first, "digest", "n").where(F.col("page") != F.col("first")).groupBy("page", "digest").agg(F.min("first").alias("refers"))
+    samples = [x.html.encode() for x in rows.select(F.substring("html", 1, sample_chars).alias("html")).limit(sample_rows).collect()]
     dictionary = spark.sparkContext.broadcast(dictionary_of(samples))
-    planned = rows.withColumn("digest", digest).join(repeats, ["page", "digest"], "left").select("page", "url", "html", "refers")
+    planned = rows.withColumn("digest", digest).join(repeats, ["page", "digest"], "left").select(F.col("page").cast("string"), "url", "html", F.col("refers").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -164,11 +179,11 @@ def write_warc(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", ur
     return written(manifest, "manifest")
 
 
-RECORDS = "page_id long, record_type string, refers_to long, url string, payload_bytes long, payload_digest string, payload binary, problem string"
+RECORDS = "page_id string, record_type string, refers_to string, url string, payload_bytes long, payload_digest string, payload binary, problem string"
 
 
-def read_warc(manifest: DataFrame) -> DataFrame:
-    """The records of the archives of a manifest (path, records, folder), one row each.
+def read_warc(manifest: DataFrame, id_type: str = "bigint") -> DataFrame:
+    """The records of the archives of a manifest (path, records, folder), one row each; ids are of ``id_type``.
 
     payload is the response's content, null for a revisit; payload_bytes is what the HTTP head
     says, payload_digest the bare base32 SHA-1. "problem" names the first rule that a record
@@ -176,10 +191,6 @@ def read_warc(manifest: DataFrame) -> DataFrame:
     another number of records than the manifest says fails the read.
     """
 
-    def number(fields: dict, key: str) -> int | None:
-        m = re.fullmatch(rf"<{PAGE}(-?\d+)>", fields.get(key, ""))
-        return int(m[1]) if m else None
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
@@ -192,7 +203,7 @@ def read_warc(manifest: DataFrame) -> DataFrame:
                         r = parsed(data)
                         f = r["fields"]
                         revisit = f.get("WARC-Type") == "revisit"
-                        rows.append((number(f, "WARC-Record-ID"), f.get("WARC-Type"), number(f, "WARC-Refers-To"), f.get("WARC-Target-URI"), r["payload_bytes"], f.get("WARC-Payload-Digest", "").removeprefix("sha1:"), None if revisit else r["payload"], r["problem"]))
+                        rows.append((page_of(f, "WARC-Record-ID"), f.get("WARC-Type"), page_of(f, "WARC-Refers-To"), f.get("WARC-Target-URI"), r["payload_bytes"], f.get("WARC-Payload-Digest", "").removeprefix("sha1:"), None if revisit else r["payload"], r["problem"]))
                         got += 1
                         held += len(data)
                         if held > 4_000_000:
@@ -203,7 +214,8 @@ def read_warc(manifest: DataFrame) -> DataFrame:
                 yield as_batch(rows)
 
     def as_batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string()]
+        kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string()]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [x.split()[0] for x in RECORDS.split(", ")])
 
-    return manifest.select("path", "records", "folder").repartition(manifest.sparkSession.sparkContext.defaultParallelism * 2, "path").mapInArrow(run, RECORDS)
+    dealt = manifest.select("path", "records", "folder").repartition(manifest.sparkSession.sparkContext.defaultParallelism * 2, "path")
+    return dealt.mapInArrow(run, RECORDS).withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
