@@ -214,8 +214,8 @@ def links_of(hits: DataFrame, sets: DataFrame, percent: int, partitions: int) ->
     top = hits.join(score, "node").groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("top"), F.max("size").alias("n"))
     leaders = written(top.select("bucket", F.col("top.node").alias("leader"), "n"), "leaders")
     pairs = written(share_join(hits.select("bucket", "node"), leaders, "bucket", "n").where("node != leader").select("leader", "node").distinct(), "pairs")
-    # a leader of very many is met by 1000 of them at a time
-    many = written(pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).withColumn("many", F.ceil(F.col("n") / 1000)), "many")
+    # a leader of very many is met by 256 of them at a time
+    many = written(pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).withColumn("many", F.ceil(F.col("n") / 256)), "many")
     right = share_join(pairs, many, "leader", "n").select(F.col("leader").alias("g1"), chunk("node", F.col("many")).alias("g2"), F.lit(0).cast("long").alias("g3"), F.lit(1).alias("side"), "node", F.col("node").alias("label"))
     left = many.select(F.col("leader").alias("g1"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1)).alias("g2"), F.lit(0).cast("long").alias("g3"), F.lit(0).alias("side"), F.col("leader").alias("node"), F.col("leader").alias("label"))
     first = components(verified(left.unionByName(right), sets, percent, partitions))
