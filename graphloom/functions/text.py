@@ -44,12 +44,34 @@ def snippet(text: Column, most: int = 200) -> Column:
 
 
 def strip_markup(text: Column) -> Column:
-    """Markdown links, bold, italics and code become their inner text."""
-    for pattern in (r"\[([^\]]*)\]\([^)]*\)", r"\*\*([^*]+)\*\*", r"\*([^*]+)\*", r"`([^`]+)`"):
+    """Markdown links, code, and bold and italics of either mark become their inner text; an underscore within a word stays."""
+    inner = [r"\[([^\]\n]*)\]\([^)\n]*\)", r"`([^`\n]+)`"]
+    inner += [rf"{m}([^{m[-1]}\n]+){m}" for m in (r"\*\*", r"\*")] + [rf"(?<!\w){m}([^_\n]+){m}(?!\w)" for m in ("__", "_")]
+    for pattern in inner:
         text = F.regexp_replace(text, pattern, "$1")
     return text
 
 
+def context_window(text: Column, start: Column, end: Column, around: int = 40) -> Column:
+    """The text from ``around`` code points before a span (from 0, end exclusive) to as many after, widened to
+    whole words; "..." stands for what is left out at either end."""
+    n = F.char_length(text)
+    left, right = F.greatest(start - around, F.lit(0)), F.least(end + around, n)
+    a = left - F.char_length(F.regexp_extract(F.substring(text, F.lit(1), left), r"(\S*)\z", 1))
+    b = right + F.char_length(F.regexp_extract(F.substring(text, right + 1, n), r"^(\S*)", 1))
+    return F.concat(F.when(a > 0, "...").otherwise(""), F.substring(text, a + 1, b - a), F.when(b < n, "...").otherwise(""))
+
+
+def iso_time(when: Column) -> Column:
+    """A time as ISO 8601 text in UTC, to seconds."""
+    return F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def from_iso(text: Column) -> Column:
+    """The time of an ISO 8601 text, with or without fractions and offset; null for any other text."""
+    return F.try_to_timestamp(text)
+
+
 def strip_tags(html: Column) -> Column:
     return F.regexp_replace(html, "<[^>]*>", "")
 

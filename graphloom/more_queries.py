@@ -22,7 +22,7 @@ def scc_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.strong_components(derived(spark, sf_dir).inner("CALLS"))
 
 
-@query()
+@query(with_graph("SELECT component, count(*) AS size, count(DISTINCT file_path) AS files FROM (SELECT a AS node, min(b) AS component FROM (SELECT x.a, x.b FROM walk x JOIN walk y ON x.a = y.b AND x.b = y.a) GROUP BY a HAVING count(*) > 1) JOIN sym ON uid = node GROUP BY component", "walk(a, b) AS (SELECT src, src FROM link WHERE kind IN ('CALLS', 'IMPORTS') UNION SELECT a, dst FROM walk JOIN link ON src = b AND kind IN ('CALLS', 'IMPORTS'))"))
 def circular_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.cycles(derived(spark, sf_dir))
 
@@ -43,30 +43,17 @@ def communities_louvain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TREE = """tree(entry, uid, path) AS (SELECT DISTINCT src, src, [src] FROM link WHERE kind = 'CALLS' AND src NOT IN (SELECT dst FROM link WHERE kind = 'CALLS')
-UNION ALL SELECT entry, dst, list_append(path, dst) FROM tree JOIN link ON src = uid AND kind = 'CALLS' WHERE len(path) < 4 AND NOT list_contains(path, dst)),
+UNION ALL SELECT entry, dst, list_append(path, dst) FROM tree JOIN link ON src = uid AND kind = 'CALLS' WHERE len(path) < 10 AND NOT list_contains(path, dst)),
 steps AS (SELECT *, row_number() OVER (PARTITION BY entry ORDER BY path) - 1 AS ordinal, count(*) OVER (PARTITION BY entry) AS n FROM tree)"""
 
 
 @query(with_graph("SELECT entry, CAST(ordinal AS INTEGER) AS ordinal, CAST(len(path) - 1 AS BIGINT) AS depth, CASE WHEN len(path) > 1 THEN path[-2] END AS parent, uid FROM steps WHERE n > 1 AND ordinal < 100", TREE))
 def process_tree_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four levels, as its SQL has them; process_tree_steps_whole takes all ten."""
-    return I.process_steps(derived(spark, sf_dir), depth=4)
-
-
-@query()
-def process_tree_steps_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.process_steps(derived(spark, sf_dir))
 
 
 @query(with_graph("SELECT entry, count(*) AS steps FROM steps JOIN sym USING (uid) WHERE n > 1 AND ordinal < 100 GROUP BY entry HAVING count(*) >= 3 AND bool_or(contains(lower(name), 'supplier'))", TREE))
 def process_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four levels, as its SQL has them; process_filter_whole takes all ten."""
-    g = derived(spark, sf_dir)
-    return I.process_filter(I.process_steps(g, depth=4), g.symbols, "Supplier", 3)
-
-
-@query()
-def process_filter_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = derived(spark, sf_dir)
     return I.process_filter(I.process_steps(g), g.symbols, "Supplier", 3)
 
@@ -163,14 +150,8 @@ def adaptation_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.adaptation_plan(differences(spark, sf_dir))
 
 
-@query("SELECT 'd' || CAST(doc_id AS VARCHAR) AS file_path, i AS line, l AS before, regexp_replace(l, '\\bthe\\b', 'THE', 'g') AS after FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE doc_id < 60) WHERE regexp_matches(l, '\\bthe\\b')")
+@query("SELECT 'd' || CAST(doc_id AS VARCHAR) AS file_path, i AS line, l AS before, regexp_replace(l, '\\bthe\\b', 'THE', 'g') AS after FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE regexp_matches(l, '\\bthe\\b')")
 def rename_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first documents, as its SQL has them; rename_plan_whole takes all."""
-    return renamed(table(spark, sf_dir, "documents").where("doc_id < 60"))
-
-
-@query()
-def rename_plan_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return renamed(table(spark, sf_dir, "documents"))
 
 
@@ -214,39 +195,21 @@ def markdown(documents: DataFrame) -> DataFrame:
     return documents.select(F.concat(F.lit("D"), "doc_id").alias("uid"), F.concat(F.lit("# A"), "doc_id", n, "text", F.lit("\n## "), "lang", F.lit("\n```\n# no heading\n```\n### "), "source", F.lit("\nsee [x](../y.md), [z](#z), [w](http://w.org)\n## End")).alias("content"))
 
 
-@query(f"""WITH l AS (SELECT 'D' || CAST(doc_id AS VARCHAR) AS uid, unnest(string_split({MARKDOWN}, chr(10))) AS line, generate_subscripts(string_split({MARKDOWN}, chr(10)), 1) AS i, len(string_split({MARKDOWN}, chr(10))) AS n FROM documents WHERE doc_id < 300),
+@query(f"""WITH l AS (SELECT 'D' || CAST(doc_id AS VARCHAR) AS uid, unnest(string_split({MARKDOWN}, chr(10))) AS line, generate_subscripts(string_split({MARKDOWN}, chr(10)), 1) AS i, len(string_split({MARKDOWN}, chr(10))) AS n FROM documents),
 f AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^\\s*(```|~~~)') THEN 1 ELSE 0 END) OVER (PARTITION BY uid ORDER BY i) % 2 AS o FROM l),
 h AS (SELECT uid, i, n, length(regexp_extract(line, '^(#+)', 1)) AS level, trim(regexp_replace(line, '^#+\\s+', '')) AS title FROM f WHERE o = 0 AND regexp_matches(line, '^#{{1,6}}\\s+\\S'))
 SELECT uid, title, CAST(level AS INTEGER) AS level, CAST(i AS INTEGER) AS start_line, CAST(coalesce((SELECT min(x.i) - 1 FROM h x WHERE x.uid = h.uid AND x.i > h.i AND x.level <= h.level), n) AS INTEGER) AS end_line FROM h""")
 def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first documents, as its SQL has them; markdown_sections_whole takes all."""
-    return content.markdown_sections(markdown(table(spark, sf_dir, "documents").where("doc_id < 300")))
-
-
-@query()
-def markdown_sections_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content.markdown_sections(markdown(table(spark, sf_dir, "documents")))
 
 
-@query("SELECT 'D' || CAST(doc_id AS VARCHAR) AS uid, '../y.md' AS link FROM documents WHERE doc_id < 300")
+@query("SELECT 'D' || CAST(doc_id AS VARCHAR) AS uid, '../y.md' AS link FROM documents")
 def markdown_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first documents, as its SQL has them; markdown_links_whole takes all."""
-    return content.markdown_links(markdown(table(spark, sf_dir, "documents").where("doc_id < 300")))
-
-
-@query()
-def markdown_links_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content.markdown_links(markdown(table(spark, sf_dir, "documents")))
 
 
-@query("SELECT event_id, concat_ws(' ', event_type, 'base', 'Public') AS text, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id % 10 = 0")
+@query("SELECT event_id, concat_ws(' ', event_type, 'base', 'Public') AS text, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def metadata_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tenth of the events, as its SQL has them; metadata_json_whole takes all."""
-    return described(table(spark, sf_dir, "events").where("event_id % 10 = 0"))
-
-
-@query()
-def metadata_json_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return described(table(spark, sf_dir, "events"))
 
 
@@ -255,14 +218,8 @@ def described(rows: DataFrame) -> DataFrame:
     return rows.select("event_id", T.metadata_text(meta).alias("text"), F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query("SELECT doc_id, concat_ws(' ', 'Document', source, lang, text) AS text FROM documents WHERE strlen(text) <= 1792")
-def embedding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts short enough to stay uncut, as its SQL has them; embedding_text_whole takes all."""
-    return embeddable(table(spark, sf_dir, "documents").where(F.octet_length("text") <= 1792))
-
-
 @query()
-def embedding_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def embedding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddable(table(spark, sf_dir, "documents"))
 
 

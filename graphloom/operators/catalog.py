@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..schema import TABLES
+from ..schema import INDEX_META, TABLES
 
 
 class Catalog:
@@ -33,7 +33,7 @@ class Catalog:
     def read(self, name: str, repo: str | None = None) -> DataFrame:
         """All rows, or a repository's; a table that isn't there is empty."""
         found = self._current(name)
-        df = self.spark.read.schema(found[1]).parquet(found[0]) if found else self.spark.createDataFrame([], TABLES.get(name, StructType()))
+        df = self.spark.read.schema(found[1]).parquet(found[0]) if found else self.spark.createDataFrame([], (TABLES | {"index_meta": INDEX_META}).get(name, StructType()))
         return df if repo is None else df.where(F.col("repo_id") == repo)
 
     def replace(self, name: str, rows: DataFrame) -> None:
@@ -52,6 +52,46 @@ class Catalog:
     def upsert(self, name: str, rows: DataFrame, *keys: str) -> None:
         self.replace(name, upserted(self.read(name), rows, *keys))
 
+    def versions(self, name: str) -> DataFrame:
+        """(version, path) of a table, the newest first."""
+        try:
+            rows = self.spark.read.json(f"{self.root}/{name}/versions", schema="version long, path string")
+        except AnalysisException:
+            rows = self.spark.createDataFrame([], "version long, path string")
+        return rows.orderBy(F.desc("version"))
+
+    def read_version(self, name: str, version: int) -> DataFrame:
+        """The rows of a version by its number; an error if there is none."""
+        row = self.versions(name).where(F.col("version") == version).first()
+        if row is None:
+            raise KeyError(f"{name} has no version {version}")
+        return self.spark.read.parquet(row["path"])
+
+    def meta(self, key: str) -> str | None:
+        """The value of a key of the index's metadata."""
+        row = self.read("index_meta").where(F.col("key") == key).select("value").first()
+        return row[0] if row else None
+
+    def put_meta(self, key: str, value: str) -> None:
+        self.upsert("index_meta", self.spark.createDataFrame([(key, value)], "key string, value string"), "key")
+
+    def register(self, name: str, path: str) -> None:
+        """Puts a repository into the registry, or its new path."""
+        self.upsert("registry", self.spark.createDataFrame([(name, path)], "name string, path string"), "name")
+
+    def unregister(self, name: str) -> None:
+        self.replace("registry", self.read("registry").where(F.col("name") != name))
+
+    def find(self, text: str) -> DataFrame:
+        """Registered repositories (name, path) of that name, path or last folder."""
+        known = self.read("registry")
+        return known.where((F.col("name") == text) | (F.col("path") == text) | F.col("path").endswith(f"/{text}")) if known.columns else known
+
+    def record(self, name: str, entry: dict[str, str]) -> None:
+        """Puts an entry (with an "id") into a small table of decisions or services; the same id is replaced."""
+        fields = ", ".join(f"`{k}` string" for k in entry)
+        self.upsert(name, self.spark.createDataFrame([tuple(entry.values())], fields), "id")
+
     def delete_repo(self, repo: str) -> None:
         for name in TABLES:
             if self._current(name) and "repo_id" in (df := self.read(name)).columns:
@@ -65,6 +105,8 @@ class Catalog:
 
 def upserted(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
     """New rows, and the old ones whose keys are not among them."""
+    if not old.columns:
+        return new
     return old.join(new.select(*keys), list(keys), "left_anti").unionByName(new, allowMissingColumns=True)
 
 

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.text import tokenize
 from ..functions.vector import dot
 
@@ -15,13 +16,14 @@ K1, B = 1.2, 0.75
 
 
 def inverted_index(docs: DataFrame, uid: str, *fields: str) -> tuple[DataFrame, DataFrame]:
-    """(uid, term, tf) of all terms of the fields together, and (uid, dl) of all documents, empty ones too.
+    """(uid, term, tf, dl) of all terms of the fields together, and (uid, dl) of all documents, empty ones too.
 
-    Written once by a caller that searches often; a query then only joins its few terms with it."""
+    Texts are read and cut into terms once, which are written. A caller that searches often writes the
+    postings as well; a query then only joins its terms with them."""
     terms = tokenize(F.concat_ws(" ", *fields))
-    own = docs.select(F.col(uid).alias("uid"), terms.alias("terms"))
-    postings = own.select("uid", F.explode("terms").alias("term")).groupBy("uid", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return postings, own.select("uid", F.size("terms").cast("long").alias("dl"))
+    own = cut(docs.select(F.col(uid).alias("uid"), terms.alias("terms")).withColumn("dl", F.size("terms").cast("long")))
+    postings = own.select("uid", "dl", F.explode("terms").alias("term")).groupBy("uid", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    return postings, own.select("uid", "dl")
 
 
 def contributions(postings: DataFrame, lengths: DataFrame, queries: DataFrame) -> DataFrame:
@@ -33,13 +35,14 @@ def contributions(postings: DataFrame, lengths: DataFrame, queries: DataFrame) -
     corpus = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    rows = hits.join(df, "term").join(lengths, "uid").crossJoin(F.broadcast(corpus)).join(wanted, "term")
+    rows = hits.join(df, "term").crossJoin(F.broadcast(corpus)).join(wanted, "term")
     return rows.select("query_id", "uid", "term", "tf", idf.alias("idf"), tf.alias("tf_norm"), (F.col("times") * idf * tf).alias("score"))
 
 
 def ranked(rows: DataFrame, by: str, limit: int | None, *group: str) -> DataFrame:
-    """The best ``limit`` rows (None: all) of each group with their rank from 1; equals go by uid."""
-    order = [F.desc(by), F.col("uid")]
+    """The best ``limit`` rows (None: all) of each group with their rank from 1; equals go by uid. Scores
+    that only a sum's order of adding may tell apart are equal."""
+    order = [F.round(by, 9).desc(), F.col("uid")]
     all_ = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
     return all_ if limit is None else all_.where(F.col("rank") <= limit)
 

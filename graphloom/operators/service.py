@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..graph import Graph
 from .analytics import degrees
 from .paths import call_depths
@@ -96,11 +97,13 @@ def knowledge_query(postings: DataFrame, lengths: DataFrame, mentions: DataFrame
 
 def ontology_schema(types: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """(name, properties) of entity types (name, extends, properties), those of all ancestors included."""
-    own = types.where(F.lower("name").isin(*[n.lower() for n in names])).select("name", F.col("extends").alias("up"), "properties")
-    for _ in range(8):  # no chain of types is longer
-        parent = types.select(F.col("name").alias("up"), F.col("extends").alias("next"), F.col("properties").alias("more"))
-        own = own.join(F.broadcast(parent), "up", "left").select("name", F.col("next").alias("up"), F.array_distinct(F.concat("properties", F.coalesce("more", F.array().cast("array<string>")))).alias("properties"))
-    return own.select("name", F.sort_array("properties").alias("properties"))
+    parent = types.select(F.col("name").alias("up"), F.col("extends").alias("next"), F.col("properties").alias("more"))
+    level = types.where(F.lower("name").isin(*[n.lower() for n in names])).select("name", F.col("extends").alias("up"), F.array("name").alias("seen"), "properties")
+    found = level.select("name", "properties")
+    while not (level := cut(level.where(F.col("up").isNotNull() & ~F.array_contains("seen", F.col("up"))))).isEmpty():  # a circle ends where it began
+        level = level.join(parent, "up").select("name", F.col("next").alias("up"), F.concat("seen", F.array("up")).alias("seen"), F.col("more").alias("properties"))
+        found = found.unionByName(level.select("name", "properties"))
+    return found.groupBy("name").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("properties")))).alias("properties"))
 
 
 def teams_of(teams: DataFrame, members: DataFrame, user: str) -> DataFrame:

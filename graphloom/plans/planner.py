@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
+from ..functions.lineage import cut
 from ..graph import Graph
 from ..operators import paths
 from ..schema import METADATA
@@ -84,16 +85,36 @@ class Planner:
             low, high = edge.hops
             one = (out if edge.direction != "in" else back).select("__src", "__dst")
             one = (one.union(back.select("__src", "__dst")) if edge.direction == "both" else one).distinct()
-            level, all_ = one, [one] if low <= 1 else []
-            for n in range(2, min(high or 5, 10) + 1):  # exchanges of a level are reused by the next
-                level = level.join(one.select(F.col("__src").alias("__dst"), F.col("__dst").alias("__to")), "__dst").select("__src", F.col("__to").alias("__dst")).distinct()
+            onwards = one.select(F.col("__src").alias("__dst"), F.col("__dst").alias("__to"))
+            step = lambda df: df.join(onwards, "__dst").select("__src", F.col("__to").alias("__dst")).distinct()
+            level, last = one, high or (5 if self.compat else None)
+            all_ = [one] if low <= 1 and last != 0 else []
+            for n in range(2, min(last, 5) + 1 if last else max(low, 1) + 1):  # exchanges of a level are reused by the next
+                level = step(level)
                 if n >= low:
                     all_.append(level)
-            return reduce(DataFrame.union, all_).distinct()
+            if last is not None and last <= 5:
+                return reduce(DataFrame.union, all_).distinct()
+            return self.onward(level, step, reduce(DataFrame.union, all_).distinct() if all_ else None, 5 if last else max(low, 1), low, last)
         if edge.direction == "both":
             return out if self.compat else out.union(back)
         return out if edge.direction == "out" else back
 
+    @staticmethod
+    def onward(level: DataFrame, step: Callable[[DataFrame], DataFrame], found: DataFrame | None, n: int, low: int, last: int | None) -> DataFrame:
+        """The pairs of ``n`` hops' ``level`` and of all longer walks up to ``last`` (None: any length), level by
+        level; each level is written. From ``low`` hops on, only pairs not found before go further."""
+        level = cut(level)
+        found = cut(found) if found is not None else level if n >= low else level.limit(0)
+        while (last is None or n < last) and not level.isEmpty():
+            level, n = step(level), n + 1
+            if n >= low:
+                level = cut(level.join(found, ["__src", "__dst"], "left_anti") if n > low else level)
+                found = cut(found.union(level).distinct())
+            else:
+                level = cut(level)
+        return found
+
     def chain(self, chain: Chain) -> tuple[DataFrame, list[str]]:
         names = [self.var(n.var) for n in chain.nodes]
         df, bound = self.scan(chain.nodes[0], names[0]), {names[0]}
@@ -110,7 +131,9 @@ class Planner:
     def path(self, df: DataFrame, chain: Chain) -> DataFrame:
         """Adds the path between both ends, which are bound; rows without one keep a null shortest path."""
         a, b = chain.nodes[0].var, chain.nodes[1].var
-        depth = min((chain.edges[0].hops or (1, 5))[1] or 5, 10)
+        depth = (chain.edges[0].hops or (1, 5))[1] or 5
+        if depth > 10:
+            raise ValueError("a path search has 10 hops at most")
         find = {"shortest": paths.shortest_paths, "all": paths.all_paths, "any": paths.any_path}[chain.path]
         pairs = df.select(quoted(f"{a}.uid").alias("a"), quoted(f"{b}.uid").alias("b")).distinct()
         var = self.var(chain.var)

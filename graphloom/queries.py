@@ -26,10 +26,10 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
-def pattern(name: str, text: str, sql: str) -> None:
+def pattern(name: str, text: str, sql: str, *ctes: str) -> None:
     """Registers a pattern query over the derived graph."""
     QUERIES[name] = lambda spark, sf_dir: cypher(derived(spark, sf_dir), text)
-    ORACLES[name] = with_graph(sql)
+    ORACLES[name] = with_graph(sql, *ctes)
 
 
 PAIR = "FROM edge e JOIN sym a ON a.uid = e.src JOIN sym b ON b.uid = e.dst"
@@ -43,7 +43,7 @@ pattern("match_edge_left", "MATCH (a)<-[:IMPORTS]-(b) RETURN a.uid AS a, b.uid A
 pattern("match_edge_both", "MATCH (a)-[:CALLS|IMPORTS]-(b) RETURN a.uid AS a, b.uid AS b", "SELECT src AS a, dst AS b FROM link UNION ALL SELECT dst, src FROM link")
 pattern("match_cross", "MATCH (a:CodeSymbol), (b:CodeSymbol) WHERE a.kind = 'Class' AND b.start_line = 10 AND b.kind = 'Class' RETURN a.uid AS a, b.uid AS b", "SELECT a.uid AS a, b.uid AS b FROM sym a, sym b WHERE a.kind = 'Class' AND b.start_line = 10 AND b.kind = 'Class'")
 pattern("match_multihop", "MATCH (a)-[:CALLS]->(b)-[:CALLS]->(c) RETURN a.uid AS a, b.uid AS b, c.uid AS c", "SELECT x.src AS a, x.dst AS b, y.dst AS c FROM link x JOIN link y ON x.dst = y.src WHERE x.kind = 'CALLS' AND y.kind = 'CALLS'")
-pattern("match_shared_var", "MATCH (a)-[:CALLS]->(b), (c)-[:IMPORTS]->(b) RETURN a.uid AS a, b.uid AS b, c.uid AS c", "SELECT x.src AS a, x.dst AS b, y.src AS c FROM link x JOIN link y ON x.dst = y.dst WHERE x.kind = 'CALLS' AND y.kind = 'IMPORTS'")
+pattern("match_shared_var", "MATCH (a)-[:CALLS]->(b), (c)-[:IMPORTS]->(b) RETURN a.uid AS a, b.uid AS b, c.uid AS c", "SELECT calls.src AS a, dst AS b, imports.src AS c FROM calls JOIN imports USING (dst)", "calls AS MATERIALIZED (SELECT src, dst FROM link WHERE kind = 'CALLS'), imports AS MATERIALIZED (SELECT src, dst FROM link WHERE kind = 'IMPORTS')")
 pattern("match_var_length", "MATCH (a)-[:CALLS*1..2]->(b) WHERE a.kind = 'Class' RETURN a.uid AS a, b.uid AS b", "SELECT DISTINCT a, b FROM (SELECT src AS a, dst AS b FROM edge WHERE kind = 'CALLS' UNION ALL SELECT x.src, y.dst FROM edge x JOIN edge y ON x.dst = y.src WHERE x.kind = 'CALLS' AND y.kind = 'CALLS') p JOIN sym s ON s.uid = a AND s.kind = 'Class' JOIN sym t ON t.uid = b")
 pattern("match_property_map", "MATCH (n:CodeSymbol {kind: 'Class', start_line: 20}) RETURN n.uid AS uid", "SELECT uid FROM sym WHERE kind = 'Class' AND start_line = 20")
 pattern("where_compare", "MATCH (n) WHERE n.start_line >= 100 AND n.start_line < 300 AND n.name > 'C' AND n.kind <> 'Method' RETURN n.uid AS uid", "SELECT uid FROM sym WHERE start_line >= 100 AND start_line < 300 AND name > 'C' AND kind <> 'Method'")
@@ -77,7 +77,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from . import analytics_queries, more_queries, retrieval_queries, service_queries  # noqa: F401  they register theirs
+    from . import analytics_queries, index_queries, more_queries, retrieval_queries, service_queries  # noqa: F401  they register theirs
 
     return dict(QUERIES)
 

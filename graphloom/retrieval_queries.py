@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.lineage import cut
 from .functions.text import tokenize
 from .graph import derived, table, with_graph
 from .operators import mail
@@ -24,14 +25,8 @@ def tokens_sql(text: str) -> str:
     return f"list_filter(string_split(lower({out}), ' '), lambda x: x <> '')"
 
 
-@query(f"SELECT uid, term, count(*) AS tf FROM (SELECT uid, unnest({tokens_sql('text')}) AS term FROM (SELECT CAST(doc_id AS VARCHAR) AS uid, text FROM documents WHERE lang = 'en' UNION ALL SELECT 'i' || CAST(i AS VARCHAR), {IDENTIFIERS}[i + 1] FROM range({len(IDENTIFIERS)}) t(i))) GROUP BY uid, term")
+@query(f"SELECT uid, term, count(*) AS tf FROM (SELECT uid, unnest({tokens_sql('text')}) AS term FROM (SELECT CAST(doc_id AS VARCHAR) AS uid, text FROM documents UNION ALL SELECT 'i' || CAST(i AS VARCHAR), {IDENTIFIERS}[i + 1] FROM range({len(IDENTIFIERS)}) t(i))) GROUP BY uid, term")
 def tokenize_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English documents, as its SQL has them; tokenize_terms_whole takes all."""
-    return terms(table(spark, sf_dir, "documents").where("lang = 'en'"))
-
-
-@query()
-def tokenize_terms_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms(table(spark, sf_dir, "documents"))
 
 
@@ -41,25 +36,28 @@ def terms(documents: DataFrame) -> DataFrame:
     return docs.select("uid", F.explode(tokenize("text")).alias("term")).groupBy("uid", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("uid"), "lang", "source", "text")
-    return R.inverted_index(docs, "uid", "source", "text")
+INDEXES: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
 
 
-def all_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text of the benchmark is a query, so their number grows with the input."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+def corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The documents' inverted index, which a session writes once for each folder of (unchanging) tables."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in INDEXES:
+        docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("uid"), "source", "text")
+        postings, lengths = R.inverted_index(docs, "uid", "source", "text")
+        INDEXES[key] = cut(postings.repartitionByRange("term").sortWithinPartitions("term", "uid")), lengths
+    return INDEXES[key]
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first ones, as the SQL has them; queries named ..._whole take all."""
-    return all_questions(spark, sf_dir).where("query_id < 8")
+    """Every text of the benchmark is a query, so their number grows with the input."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 BM25_CTES = f"""terms AS (SELECT doc_id AS uid, {tokens_sql("source || ' ' || text")} AS t FROM documents),
 post AS (SELECT uid, term, count(*) AS tf FROM (SELECT uid, unnest(t) AS term FROM terms) GROUP BY uid, term),
 dl AS (SELECT uid, len(t) AS dl FROM terms), corpus AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
-want AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({tokens_sql('text')}) AS term FROM benchmark WHERE item_id < 8) GROUP BY query_id, term),
+want AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({tokens_sql('text')}) AS term FROM benchmark) GROUP BY query_id, term),
 df AS (SELECT term, count(*) AS df FROM post WHERE term IN (SELECT term FROM want) GROUP BY term),
 part AS (SELECT query_id, uid, term, tf, times, ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) AS idf,
   tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)) AS tf_norm FROM post JOIN want USING (term) JOIN df USING (term) JOIN dl USING (uid) CROSS JOIN corpus),
@@ -76,21 +74,11 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(R.bm25(*corpus(spark, sf_dir), questions(spark, sf_dir), 20).drop("rank"), "score")
 
 
-@query()
-def bm25_topk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(R.bm25(*corpus(spark, sf_dir), all_questions(spark, sf_dir), 20).drop("rank"), "score")
-
-
 @query(f"WITH {BM25_CTES} SELECT query_id, uid, term, tf, round(idf, 6) AS idf, round(tf_norm, 6) AS tf_norm, round(times * idf * tf_norm, 6) AS score FROM part")
 def bm25_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(R.contributions(*corpus(spark, sf_dir), questions(spark, sf_dir)), "idf", "tf_norm", "score")
 
 
-@query()
-def bm25_explain_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(R.contributions(*corpus(spark, sf_dir), all_questions(spark, sf_dir)), "idf", "tf_norm", "score")
-
-
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("uid"), F.col("embedding").alias("vector"), "label")
 
@@ -100,7 +88,7 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 KNN = """near AS (SELECT q.vec_id AS query_id, v.vec_id AS uid, list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))) AS score
-FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0), knn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, uid) AS rank FROM near)"""
+FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0), knn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, uid) AS rank FROM near)"""
 
 
 @query(f"WITH {KNN} SELECT query_id, uid, round(score, 5) AS score FROM knn WHERE rank <= 10")
@@ -109,8 +97,8 @@ def knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FUSED = """both_ AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.uid, b.uid) AS uid, coalesce(1 / (60.0::DOUBLE + a.rank), 0) + coalesce(1 / (60.0::DOUBLE + b.rank), 0) AS score
-FROM (SELECT * FROM bm WHERE rank <= 100) a FULL JOIN (SELECT * FROM knn WHERE rank <= 100) b ON a.query_id = b.query_id AND a.uid = b.uid),
-fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, uid) AS rank FROM both_)"""
+FROM bm a FULL JOIN (SELECT * FROM knn WHERE rank <= 100) b ON a.query_id = b.query_id AND a.uid = b.uid),
+fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, uid) AS rank FROM both_)"""
 
 
 def hybrid(spark: SparkSession, sf_dir: str, asked: DataFrame, limit: int = 20, words: int | None = None) -> DataFrame:
@@ -121,39 +109,28 @@ def hybrid(spark: SparkSession, sf_dir: str, asked: DataFrame, limit: int = 20,
     return R.rrf(R.bm25(*corpus(spark, sf_dir), asked, words), R.knn(v, q, 100), limit=limit)
 
 
-KNN8 = KNN.replace("q.vec_id % 100 = 0", "q.vec_id < 8")
+KNN_ITEMS = KNN.replace("q.vec_id % 100 = 0", "q.vec_id IN (SELECT item_id FROM benchmark)")
 
 
-@query(f"WITH {BM25_CTES}, {KNN8}, {FUSED} SELECT query_id, uid, round(score, 9) AS score, rank FROM fused WHERE rank <= 20".replace("SELECT query_id, uid, round(score, 9) AS score, rank FROM", "SELECT query_id, uid, round(score, 9) AS score, CAST(rank AS INTEGER) AS rank FROM"))
+@query(f"WITH {BM25_CTES}, {KNN_ITEMS}, {FUSED} SELECT query_id, uid, round(score, 9) AS score, rank FROM fused WHERE rank <= 20".replace("SELECT query_id, uid, round(score, 9) AS score, rank FROM", "SELECT query_id, uid, round(score, 9) AS score, CAST(rank AS INTEGER) AS rank FROM"))
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best 100 hits by words, as its SQL has them; hybrid_search_whole fuses all."""
-    return _rounded(hybrid(spark, sf_dir, questions(spark, sf_dir), words=100), "score", to=9).select("query_id", "uid", "score", "rank")
-
-
-@query()
-def hybrid_search_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(hybrid(spark, sf_dir, all_questions(spark, sf_dir)), "score", to=9).select("query_id", "uid", "score", "rank")
+    return _rounded(hybrid(spark, sf_dir, questions(spark, sf_dir)), "score", to=9).select("query_id", "uid", "score", "rank")
 
 
-@query(f"""WITH {KNN8}, other AS (SELECT query_id, uid, row_number() OVER (PARTITION BY query_id ORDER BY uid) AS rank FROM knn WHERE uid % 3 = 0),
-bm AS (SELECT query_id, uid, rank FROM other), {FUSED} SELECT query_id, uid, round(score, 9) AS score FROM fused WHERE rank <= 20""")
+@query(f"""WITH {KNN}, other AS (SELECT query_id, uid, row_number() OVER (PARTITION BY query_id ORDER BY uid) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id AS uid FROM embeddings q JOIN embeddings v ON q.label = v.label WHERE q.vec_id % 100 = 0)),
+bm AS (SELECT query_id, uid, rank FROM other WHERE rank <= 100), {FUSED} SELECT query_id, uid, round(score, 9) AS score FROM fused WHERE rank <= 20""")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of the query's label by id, fused with those near it."""
     v = vectors(spark, sf_dir)
-    q = v.where("uid < 8").select(F.col("uid").alias("query_id"), "vector")
-    other = v.where("uid % 3 = 0").crossJoin(F.broadcast(q.select("query_id"))).select("query_id", "uid", (-F.col("uid")).cast("double").alias("score"))
-    return _rounded(R.rrf(R.ranked(other, "score", 100, "query_id"), R.knn(v, q, 100), limit=20), "score", to=9).select("query_id", "uid", "score")
+    q = v.where("uid % 100 = 0").select(F.col("uid").alias("query_id"), "label")
+    other = v.join(F.broadcast(q), "label").select("query_id", "uid", (-F.col("uid")).cast("double").alias("score"))
+    return _rounded(R.rrf(R.ranked(other, "score", 100, "query_id"), R.knn(v, vector_queries(spark, sf_dir), 100), limit=20), "score", to=9).select("query_id", "uid", "score")
 
 
-@query(f"""WITH {BM25_CTES}, {KNN8}, {FUSED}, words AS (SELECT item_id AS query_id, list_distinct({tokens_sql('text')}) AS q FROM benchmark WHERE item_id < 8)
+@query(f"""WITH {BM25_CTES}, {KNN_ITEMS}, {FUSED}, words AS (SELECT item_id AS query_id, list_distinct({tokens_sql('text')}) AS q FROM benchmark)
 SELECT query_id, uid, round(CAST(len(list_intersect(q, list_distinct({tokens_sql('text')}))) AS DOUBLE) / len(q), 6) AS rerank_score FROM fused JOIN words USING (query_id) JOIN documents ON doc_id = uid WHERE rank <= 20""")
 def rerank_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best 100 hits by words, as its SQL has them; rerank_lexical_whole fuses all."""
-    return reranked(spark, sf_dir, questions(spark, sf_dir), words=100)
-
-
-@query()
-def rerank_lexical_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reranked(spark, sf_dir, all_questions(spark, sf_dir))
+    return reranked(spark, sf_dir, questions(spark, sf_dir))
 
 
 def reranked(spark: SparkSession, sf_dir: str, asked: DataFrame, words: int | None = None) -> DataFrame:
@@ -219,20 +196,15 @@ def email_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mail.search(messages(spark, sf_dir), "THE", "assistant ", limit=None).select("uid")
 
 
-@query("""WITH names AS (SELECT 'N' || w AS uid, w AS name FROM (SELECT DISTINCT regexp_extract(text, 'AKIA[A-Z0-9]{16}', 0) AS w FROM documents) WHERE w <> ''),
+@query("""WITH names AS (SELECT 'N' || name AS uid, name FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS name FROM documents)
+  WHERE regexp_matches(name, '\\p{L}') AND length(name) >= 3 AND (contains(name, '_') OR regexp_matches(name, '[0-9]') OR regexp_matches(name, '^[A-Z]{3,}$') OR (regexp_matches(name, '[a-z]') AND regexp_matches(name, '^.+[A-Z]')))),
 w AS (SELECT uid, line, unnest(string_split_regex(row, '[^\\p{L}\\p{N}_]+')) AS name FROM (SELECT uid, generate_subscripts(r, 1) AS line, unnest(r) AS row FROM (SELECT 'D' || CAST(doc_id AS VARCHAR) AS uid, string_split(text, chr(10)) AS r FROM documents)))
 SELECT w.uid, n.uid AS target, count(*) AS n, array_to_string(list_sort(list_distinct(list(line))), ',') AS lines FROM w JOIN names n USING (name) GROUP BY w.uid, n.uid""")
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys of one form, as its SQL has them, which the given tables don't hold; mentions_whole looks for names that occur."""
-    docs = table(spark, sf_dir, "documents")
-    names = docs.select(F.regexp_extract("text", "AKIA[A-Z0-9]{16}", 0).alias("name")).where("name <> ''").distinct()
-    return R.mentions(docs.select(F.concat(F.lit("D"), "doc_id").alias("uid"), "text"), names.select(F.concat(F.lit("N"), "name").alias("uid"), "name"))
-
-
-@query()
-def mentions_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All words of all documents that have a letter and look like identifiers are the names to look for."""
     docs = table(spark, sf_dir, "documents")
     words = docs.select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("name"))
     names = words.where(F.col("name").rlike(r"\p{L}")).distinct()
     return R.mentions(docs.select(F.concat(F.lit("D"), "doc_id").alias("uid"), "text"), names.select(F.concat(F.lit("N"), "name").alias("uid"), "name"))
+
+

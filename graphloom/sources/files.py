@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,10 +12,12 @@ from pyspark.sql import functions as F
 # Languages by file extension.
 LANGUAGES = {
     "py": "Python", "pyi": "Python", "js": "JavaScript", "jsx": "JavaScript", "mjs": "JavaScript", "cjs": "JavaScript", "ts": "TypeScript", "tsx": "TypeScript", "rs": "Rust", "go": "Go", "java": "Java", "kt": "Kotlin", "kts": "Kotlin",
-    "c": "C", "h": "C", "cpp": "C++", "cc": "C++", "cxx": "C++", "hpp": "C++", "cs": "C#", "rb": "Ruby", "php": "PHP", "swift": "Swift", "scala": "Scala", "lua": "Lua", "sh": "Bash", "bash": "Bash", "sql": "SQL", "md": "Markdown", "mdx": "Markdown", "txt": "Text", "ipynb": "Notebook", "eml": "Email", "mbox": "Mbox",
+    "c": "C", "h": "C", "cpp": "C++", "cc": "C++", "cxx": "C++", "hpp": "C++", "cs": "C#", "rb": "Ruby", "php": "PHP", "swift": "Swift", "scala": "Scala", "lua": "Lua", "sh": "Bash", "bash": "Bash", "sql": "SQL", "md": "Markdown", "mdx": "Markdown", "markdown": "Markdown", "zig": "Zig", "ps1": "PowerShell", "ex": "Elixir", "exs": "Elixir", "m": "Objective-C", "dart": "Dart", "vue": "Vue", "svelte": "Svelte", "txt": "Text", "ipynb": "Notebook", "eml": "Email", "mbox": "Mbox",
 }
 # Folders that are never read.
 SKIPPED = ("node_modules", "__pycache__", "target", "dist", "build", ".venv", "venv")
+# Ends of names of generated files, which are never read.
+GENERATED = (".min.js", ".bundle.js", ".map")
 
 
 def language_of(path: Column) -> Column:
@@ -34,12 +37,28 @@ def problem(content: Column, most_bytes: int = 512 * 1024, longest_line: int = 5
     return F.when(F.length(content) > most_bytes, "too_large").when(text.isNull(), "not_utf8").when(F.exists(F.split(text, "\n"), lambda x: F.octet_length(x) > longest_line), "long_line")
 
 
-def source_files(spark: SparkSession, root: str, most_bytes: int = 512 * 1024) -> DataFrame:
-    """(path, language, content, problem) of the files below a folder, paths relative to it."""
+def generated(path: Column) -> Column:
+    """Whether a file's name says that it was made by a tool."""
+    return F.lower(path).rlike("(" + "|".join(re.escape(x) for x in GENERATED) + ")$")
+
+
+def matches(path: Column, globs: tuple[str, ...]) -> Column:
+    """Whether any of the globs fits a path: ** crosses folders, * and ? stay within one."""
+    parts = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+    patterns = ["".join(parts.get(x) or re.escape(x) for x in re.findall(r"\*\*/|\*\*|.", g, re.S)) for g in globs]
+    return path.rlike("^(" + "|".join(patterns) + ")$") if globs else F.lit(False)
+
+
+def source_files(spark: SparkSession, root: str, most_bytes: int = 512 * 1024, include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> DataFrame:
+    """(path, language, content, problem) of the files below a folder, paths relative to it; with globs to
+    ``include``, only those that fit one. A file that is too large has its row, but its bytes are never read."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     path = F.regexp_replace(F.col("path"), rf"^.*?{root.split('://')[-1].strip('/')}/", "")
-    rows = raw.where(F.col("length") <= most_bytes).select(path.alias("path"), "content").where(~skipped(F.col("path")))
-    rows = rows.select("path", language_of(F.col("path")).alias("language"), "content", problem(F.col("content"), most_bytes).alias("problem"))
+    small = raw.where(F.col("length") <= most_bytes).select(path.alias("path"), "content", problem(F.col("content"), most_bytes).alias("problem"))
+    large = raw.where(F.col("length") > most_bytes).select(path.alias("path"), F.lit(None).cast("binary").alias("content"), F.lit("too_large").alias("problem"))
+    own = F.col("path")
+    rows = small.unionByName(large).where(~skipped(own) & ~generated(own) & ~matches(own, exclude))
+    rows = (rows.where(matches(own, include)) if include else rows).select("path", language_of(own).alias("language"), "content", "problem")
     return rows.where(F.col("language").isNotNull()).withColumn("content", F.when(F.col("problem").isNull(), F.col("content").cast("string")))
 
 
@@ -72,8 +91,38 @@ def openapi_endpoints(files: DataFrame) -> DataFrame:
                     spec = yaml.safe_load(content) or {}
                 except yaml.YAMLError:
                     continue
-                for route, ways in (spec.get("paths") or {}).items() if isinstance(spec, dict) else ():
-                    rows += [(path, (way or {}).get("operationId") or f"{m}_{route}", m.upper(), route) for m, way in (ways or {}).items() if m in methods]
+                paths = spec.get("paths") if isinstance(spec, dict) else None
+                for route, ways in paths.items() if isinstance(paths, dict) else ():
+                    for m, way in ways.items() if isinstance(ways, dict) else ():
+                        if m in methods:
+                            named = way.get("operationId") if isinstance(way, dict) else None
+                            rows.append((path, str(named or f"{m}_{route}"), m.upper(), str(route)))
             yield pd.DataFrame(rows, columns=["path", "operation", "method", "route"])
 
     return files.select("path", "content").mapInPandas(run, "path string, operation string, method string, route string")
+
+
+def ontology_types(spark: SparkSession, path: str) -> DataFrame:
+    """(name, extends, properties) of the entity types of an ontology's YAML file or folder of them; what isn't
+    of that form is passed over."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import yaml
+
+        for batch in batches:
+            rows = []
+            for content in batch["value"]:
+                try:
+                    spec = yaml.safe_load(content)
+                except yaml.YAMLError:
+                    continue
+                types = next((spec[k] for k in ("entity_types", "entities", "types") if isinstance(spec, dict) and spec.get(k)), [])
+                types = [{"name": k} | (v or {}) for k, v in types.items()] if isinstance(types, dict) else types
+                for x in types if isinstance(types, list) else ():
+                    if isinstance(x, dict) and x.get("name"):
+                        own = x.get("properties") or []
+                        names = list(own) if isinstance(own, dict) else [y.get("name") if isinstance(y, dict) else y for y in own]
+                        rows.append((str(x["name"]), x.get("extends"), [str(y) for y in names if y is not None]))
+            yield pd.DataFrame(rows, columns=["name", "extends", "properties"])
+
+    return spark.read.text(path, wholetext=True).mapInPandas(run, "name string, extends string, properties array<string>")

@@ -1,40 +1,19 @@
-"""Queries over whole tables give the rows of their narrower namesakes' SQL once its filters are taken out."""
+"""Queries over whole tables that SQL can't express, or not alone, against plain Python."""
 
 import re
 import unicodedata
 from collections import defaultdict
 
-import duckdb
-import pytest
-from test_oracles import TABLES, plain
-
 from graphloom.operators import retrieval as R
 from graphloom.operators import service as S
-from graphloom.queries import oracle_sql, queries
-
-TAKEN_OUT = (("WHERE doc_id < 60", ""), ("WHERE doc_id < 300", ""), ("WHERE event_id % 10 = 0", ""), ("WHERE lang = 'en'", ""), ("WHERE item_id < 8", ""), ("q.vec_id < 8", "q.vec_id IN (SELECT item_id FROM benchmark)"), ("FROM bm WHERE rank <= 100", "FROM bm"))
-NAMES = "rename_plan markdown_sections markdown_links metadata_json tokenize_terms bm25_topk bm25_explain hybrid_search rerank_lexical".split()
-
-
-@pytest.mark.parametrize("name", NAMES)
-def test_whole_rows(spark, name):
-    folder, con, sql = f"/root/testdata/{'sf0.01' if name.startswith('markdown') else 'sf0.001'}", duckdb.connect(), oracle_sql()[name]
-    for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
-    narrow = len(con.execute(sql).df())
-    for a, b in TAKEN_OUT:
-        sql = sql.replace(a, b)
-    got, want = queries()[f"{name}_whole"](spark, folder).toPandas(), con.execute(sql).df()
-    fix = lambda df: df.apply(lambda c: c.map(lambda x: float(x) if isinstance(x, int) and not isinstance(x, bool) else x))
-    assert plain(fix(got)) == plain(fix(want)) and len(want) > narrow
-
+from graphloom.queries import queries
 
 def test_embedding_text_cuts_long_texts_at_a_character(spark):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet").collect()
     want = {d.doc_id: " ".join(["Document", d.source, d.lang, d.text.encode()[:1792].decode(errors="ignore")]) for d in docs}
     assert any(len(d.text.encode()) > 1792 for d in docs)
-    assert {r.doc_id: r.text for r in queries()["embedding_text_whole"](spark, folder).collect()} == want
+    assert {r.doc_id: r.text for r in queries()["embedding_text"](spark, folder).collect()} == want
 
 
 def test_knowledge_query_reads_mentions_of_all_matching_symbols(spark):
@@ -55,5 +34,5 @@ def test_mentions_of_names_that_occur(spark):
                 looks = "_" in w or re.search("[0-9]", w) or re.fullmatch("[A-Z]{3,}", w) or re.search("[a-z]", w) and re.search(".[A-Z]", w)
                 if len(w) >= 3 and looks and any(c.isalpha() for c in w):
                     want[f"D{d.doc_id}", f"N{w}"].append(i + 1)
-    got = {(r.uid, r.target): (r.n, r.lines) for r in queries()["mentions_whole"](spark, folder).collect()}
+    got = {(r.uid, r.target): (r.n, r.lines) for r in queries()["mentions"](spark, folder).collect()}
     assert got and got == {k: (len(x), ",".join(map(str, sorted(set(x))))) for k, x in want.items()}
