@@ -286,8 +286,13 @@ def community_drift(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def rationale_targets(rationales: DataFrame, symbols: DataFrame) -> DataFrame:
     """(rationale, uid): the first symbol of the same file below each rationale (rationale, file_path, line)."""
-    ways = rationales.join(symbols.select("uid", "file_path", "start_line"), "file_path").where("start_line > line")
-    return ways.groupBy("rationale").agg(F.min(F.struct("start_line", "uid")).alias("x")).select("rationale", "x.uid")
+    none = F.lit(None).cast("string")
+    marks = rationales.where("line IS NOT NULL").select("file_path", F.col("line").cast("long").alias("at"), F.col("rationale").cast("string").alias("rationale"), none.alias("uid"))
+    both = marks.unionByName(symbols.select("file_path", F.col("start_line").cast("long").alias("at"), none.alias("rationale"), "uid"))
+    # from a file's end upwards; a symbol of the rationale's own line comes after it
+    upwards = Window.partitionBy("file_path").orderBy(F.desc("at"), F.col("rationale").isNull(), F.desc("uid")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    below = both.where("file_path IS NOT NULL AND at IS NOT NULL").withColumn("uid", F.last("uid", ignorenulls=True).over(upwards))
+    return below.where("rationale IS NOT NULL AND uid IS NOT NULL").select("rationale", "uid")
 
 
 def blame_of(blame: DataFrame, symbols: DataFrame) -> DataFrame:

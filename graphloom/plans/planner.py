@@ -147,6 +147,9 @@ class Planner:
                 continue
             if chain.path:  # both ends, each with the conditions on it alone
                 own = None
+                given = {n.var for n in chain.nodes if n.var in bound or n.props or any(names_in(e) == {n.var} for e in rest)}
+                if not given:
+                    raise QueryError("a path search between any two symbols: give a condition on an end")
                 for n in chain.nodes:
                     if n.var not in bound:
                         end = self.scan(n, n.var)

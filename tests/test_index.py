@@ -105,3 +105,9 @@ def test_versions_registry_and_metadata(spark, tmp_path):
     c.record("decisions", {"id": "d1", "title": "old"})
     c.record("decisions", {"id": "d1", "title": "new"})
     assert [r.title for r in c.read("decisions").collect()] == ["new"]
+    rows = spark.createDataFrame([(1, "r1"), (2, "r2")], "n int, repo_id string")
+    for _ in range(3):
+        c.append("things", rows)
+    assert c.read("things").count() == 6 and c.read("things", "r1").count() == 3 and c.versions("things").count() == 3
+    c.append("things", spark.createDataFrame([(3, "r1", "x")], "n int, repo_id string, more string"))
+    assert sorted((r.n, r.more) for r in c.read("things", "r1").collect())[-1] == (3, "x")
