@@ -53,15 +53,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def share_join(rows: DataFrame, side: DataFrame, key: str, n: str, how: str = "inner", heavy: int = 1024) -> DataFrame:
     """``rows`` joined to ``side``, which has one row for each ``key`` and in ``n`` how many of the rows have it.
 
-    Keys with more than 1/heavy of all those rows, of which there are fewer than ``heavy``, meet by a
-    broadcast; the others by a shuffle, so that no key brings more than that share to one task. Both are
-    read twice, so they should be written tables.
+    Keys with more than 1/heavy of all those rows, of which there are fewer than ``heavy``, are part of the
+    plan and meet by a broadcast; the others by a shuffle, so that no key brings more than that share to one
+    task. Both are read twice where there are such keys, so they should be written tables.
     """
     total = side.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
     hot = F.col(n) * heavy > total
-    few = F.broadcast(side.where(hot))
-    rest = rows.join(F.broadcast(side.where(hot).select(key)), key, "left_anti").join(side.where(~hot), key, how)
-    return rows.join(few, key).unionByName(rest)
+    keys = [r[0] for r in side.where(hot).select(key).collect()]
+    if not keys:
+        return rows.join(side, key, how)
+    few = F.coalesce(F.col(key).isin(keys), F.lit(False))
+    return rows.where(few).join(F.broadcast(side.where(hot)), key).unionByName(rows.where(~few).join(side.where(~hot), key, how))
 
 
 def whole(text: str | Column) -> Column:
