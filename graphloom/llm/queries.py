@@ -161,7 +161,9 @@ def decontamination_sql(documents: str) -> str:
     sums AS (SELECT *, sum(x) OVER (PARTITION BY doc_id, item_id, off ORDER BY j) AS c FROM side),
     scored AS (SELECT doc_id, item_id, max(c - low) AS score FROM
       (SELECT *, least(0, min(c) OVER (PARTITION BY doc_id, item_id, off ORDER BY j)) AS low FROM sums) GROUP BY doc_id, item_id),
-    judged AS (SELECT doc_id, item_id, score, score >= least(12, greatest(ceil(len(words) * 0.45), 8)) AS bad FROM scored JOIN item_words USING (item_id)),
+    beside AS (SELECT doc_id, item_id, max(n) AS agreed FROM (SELECT doc_id, item_id, off, count(*) FILTER (WHERE x = 1) AS n FROM side GROUP BY doc_id, item_id, off) GROUP BY doc_id, item_id),
+    judged AS (SELECT doc_id, item_id, score, score >= least(12, greatest(ceil(len(words) * 0.45), 8)) OR agreed >= greatest(ceil(len(words) * 0.6), 8) AS bad
+      FROM scored JOIN beside USING (doc_id, item_id) JOIN item_words USING (item_id)),
     contaminated AS (SELECT doc_id, max(score) AS best_score, count(*) FILTER (WHERE bad) AS n_items, string_agg(item_id, ',' ORDER BY item_id) FILTER (WHERE bad) AS items FROM judged GROUP BY doc_id)"""
 
 

@@ -150,7 +150,8 @@ def test_decontamination_finds_replaced_words_and_leaves_short_overlaps(spark, o
 
 def test_decontamination_finds_short_items_with_every_third_word_replaced(spark, tmp_path):
     import corpus_pipeline
-    from graphloom.llm.queries import op5_decontaminate
+    import duckdb
+    from graphloom.llm.queries import ORACLES, op5_decontaminate
 
     r = random.Random(5)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
@@ -162,5 +163,10 @@ def test_decontamination_finds_short_items_with_every_third_word_replaced(spark,
     spark.createDataFrame([(n, " ".join(x)) for n, x in items.items()], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {x.doc_id: x for x in op5_decontaminate(spark, str(tmp_path)).collect()}
     assert {i: x.items for i, x in got.items() if x.contaminated} == {i: str(i // 100) for i, _ in docs}
+    with duckdb.connect() as con:
+        for name in ("documents", "benchmark"):
+            con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+        want = con.sql(f"SELECT doc_id, contaminated, n_items, best_score, items FROM ({ORACLES['op5_decontaminate']})").fetchall()
+    assert {tuple(x[c] for c in ("doc_id", "contaminated", "n_items", "best_score", "items")) for x in got.values()} == set(want)
     kept = corpus_pipeline.benchmark(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
     assert {x.doc_id for x in kept.collect()} == {i for i, x in got.items() if not x.contaminated}
