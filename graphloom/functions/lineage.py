@@ -7,13 +7,12 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` below ``spark.checkpoint.dir`` and reads it back. Without that setting, a
-    temporary folder serves a ``local[...]`` session; on a cluster it is an error."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path below ``spark.checkpoint.dir``. Without that setting, a temporary folder serves a
+    ``local[...]`` session; on a cluster it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
@@ -22,6 +21,12 @@ def cut(df: DataFrame) -> DataFrame:
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         base = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/graphloom-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes ``df`` into a shared folder and reads it back."""
+    spark = df.sparkSession
+    path = shared_folder(spark, "graphloom")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -60,7 +60,8 @@ class Catalog:
         """Writes only the new rows, beside those there are. Rows with other columns, and every 32nd append, write
         the table anew."""
         found = self._current(name)
-        if found and found[0].count("\n") < 31 and [(c, t) for c, t in rows.select(*found[1].names).dtypes if set(rows.columns) == set(found[1].names)] == [(f.name, f.dataType.simpleString()) for f in found[1]]:
+        kinds = lambda schema: {f.name: f.dataType.simpleString() for f in schema}
+        if found and found[0].count("\n") < 31 and kinds(rows.schema) == kinds(found[1]):
             self._name(name, f"{found[0]}\n{self._written(name, rows)}", found[1])
         else:
             old = self.read(name)

@@ -104,3 +104,19 @@ def adaptation_plan(differences: DataFrame) -> DataFrame:
     n = F.col("n")
     effort = F.when(n <= 5, "small").when(n <= 15, "medium").when(n <= 40, "large").otherwise("very_large")
     return differences.groupBy(action.alias("action")).agg(F.count(F.lit(1)).alias("n")).withColumn("effort", effort)
+
+
+def adaptation_steps(differences: DataFrame, critical: bool = False, languages_differ: bool = False) -> DataFrame:
+    """(ordinal, category, n, needs, effort, risks) of a plan's steps, those without symbols left out: analyze, create,
+    adapt, remove, verify. Each needs the one before it, adapting also the analysis; effort and risks are the plan's."""
+    of = lambda status: F.count_if(F.col("status") == status).alias(status)
+    n = differences.agg(of("matched"), of("source_only"), of("target_only"))
+    c, a, r = F.col("source_only"), F.col("matched"), F.col("target_only")
+    total = c + a + r
+    effort = F.when(total <= 5, "small").when(total <= 15, "medium").when(total <= 40, "large").otherwise("very_large")
+    risks = F.array_compact(F.array(F.when(r > 0, "removal may break callers outside"), F.when(F.lit(languages_differ), "languages differ"), F.when(c + r > a, "more unmatched than matched"), F.when(F.lit(critical), "critical structural differences")))
+    step = lambda category, size: F.struct(F.lit(category).alias("category"), size.cast("long").alias("n"))
+    steps = F.filter(F.array(step("analyze", total), step("create", c), step("adapt", a), step("remove", r), step("verify", F.lit(0))), lambda x: (x["n"] > 0) | x["category"].isin("analyze", "verify"))
+    rows = n.select(F.posexplode(steps).alias("at", "x"), effort.alias("effort"), F.array_join(risks, "; ").alias("risks"))
+    needs = F.when(F.col("at") == 0, "").when((F.col("x.category") == "adapt") & (F.col("at") > 1), F.concat(F.lit("1,"), F.col("at").cast("string"))).otherwise(F.col("at").cast("string"))
+    return rows.select((F.col("at") + 1).cast("long").alias("ordinal"), "x.category", "x.n", needs.alias("needs"), "effort", "risks")

@@ -130,3 +130,13 @@ def retrieval_metrics(ranking: DataFrame, relevant: DataFrame, ks: tuple[int, ..
     hits = ranking.join(relevant, ["query_id", "uid"]).groupBy("query_id").agg(*[F.count_if(F.col("rank") <= k).alias(f"h{k}") for k in ks], F.min("rank").alias("first"))
     each = total.join(hits, "query_id", "left")
     return each.agg(*[F.round(F.avg(F.coalesce(f"h{k}", F.lit(0)) / F.col("total")), 6).alias(f"recall_at_{k}") for k in ks], F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
+
+
+def golden_set(rankings: DataFrame, relevant: DataFrame, modes: tuple[str, ...], ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+    """(mode, intent, queries, recall_at_k..., mrr): rankings (mode, query_id, uid, rank) of the ways to search,
+    by the intent of the queries of ``relevant`` (query_id, intent, uid). A query without a hit counts as 0."""
+    total = relevant.groupBy("query_id", "intent").agg(F.count_distinct("uid").alias("total"))
+    asked = total.withColumn("mode", F.explode(F.array(*[F.lit(m) for m in modes])))
+    hits = rankings.join(relevant.select("query_id", "uid").distinct(), ["query_id", "uid"]).groupBy("mode", "query_id").agg(*[F.count_if(F.col("rank") <= k).alias(f"h{k}") for k in ks], F.min("rank").alias("first"))
+    each = asked.join(hits, ["mode", "query_id"], "left")
+    return each.groupBy("mode", "intent").agg(F.count(F.lit(1)).alias("queries"), *[F.round(F.avg(F.coalesce(f"h{k}", F.lit(0)) / F.col("total")), 6).alias(f"recall_at_{k}") for k in ks], F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))

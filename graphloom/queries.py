@@ -77,7 +77,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from . import analytics_queries, index_queries, more_queries, retrieval_queries, service_queries  # noqa: F401  they register theirs
+    from . import analytics_queries, index_queries, more_queries, record_queries, retrieval_queries, service_queries  # noqa: F401  they register theirs
 
     return dict(QUERIES)
 

@@ -1,7 +1,8 @@
 """Source code to symbols, calls and imports: Python by its syntax tree, others by line rules.
 
 The line rules know definitions of functions, types and methods by keyword and braces; they are an
-approximation of a full parser, which this library does not carry.
+approximation of a full parser, which this library does not carry. Further languages, and a caller's own, are
+written in the rule language of ``rules.py``.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import rules as R
+
 SYMBOL = "name string, qualified_name string, kind string, start_line long, end_line long, signature string, decorators array<string>, return_type string, superclasses array<string>"
 FACTS = f"file_path string, fact string, {SYMBOL}, target string, line long"
 
@@ -100,10 +103,21 @@ def ruled_facts(content: str, language: str) -> Iterator[dict]:
             yield from ({"fact": "call", "qualified_name": owner["qualified_name"], "target": t, "line": i + 1} for t in CALL.findall(line) if t not in KEYWORDS)
 
 
-def code_facts(files: DataFrame) -> DataFrame:
+def code_facts(files: DataFrame, rules: str = "") -> DataFrame:
     """FACTS of files (path, language, content): fact is symbol, call or import. A call's qualified_name is the
-    caller; target is the name called or the module imported. Files of other languages have no facts."""
+    caller; target is the name called or the module imported. ``rules``, in the rule language, replace what is
+    built in for their languages. Files of other languages have no facts."""
     names = [x.split()[0] for x in FACTS.split(", ")]
+    own, more = R.parse_rules(rules), R.parse_rules(R.RULE_TEXT)
+
+    def of(content: str, language: str) -> Iterator[dict]:
+        if language in own:
+            return R.facts(content, own[language])
+        if language == "Python":
+            return python_facts(content)
+        if language in RULES:
+            return ruled_facts(content, language)
+        return R.facts(content, more[language]) if language in more else iter(())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -111,8 +125,7 @@ def code_facts(files: DataFrame) -> DataFrame:
             for path, language, content in zip(batch["path"], batch["language"], batch["content"], strict=True):
                 if not content:
                     continue
-                facts = python_facts(content) if language == "Python" else ruled_facts(content, language) if language in RULES else ()
-                rows += [{"file_path": path} | f for f in facts]
+                rows += [{"file_path": path} | f for f in of(content, language)]
             out = pd.DataFrame(rows, columns=names).astype(object)
             yield out.where(out.notna(), None)
 

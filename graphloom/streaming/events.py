@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.lineage import cut
+from ..functions.lineage import shared_folder
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -37,12 +38,37 @@ def deduplicated(events: DataFrame, *keys: str, late: str = "1 hour") -> DataFra
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(keys))
 
 
+def followed(events: DataFrame, first: str, second: str, within: str = "1 hour", late: str = "1 hour") -> DataFrame:
+    """(user_id, first_id, second_id): events of one type and those of another by the same user no later than
+    ``within`` after. The bound on time lets Spark forget what nothing can meet any more."""
+    of = lambda kind, side: events.where(F.col("event_type") == kind).withWatermark("ts", late).select(F.col("user_id").alias(f"{side}_user"), F.col("event_id").alias(f"{side}_id"), F.col("ts").alias(f"{side}_ts"))
+    near = (F.col("second_ts") >= F.col("first_ts")) & (F.col("second_ts") <= F.col("first_ts") + F.expr(f"INTERVAL {within}"))
+    pairs = of(first, "first").join(of(second, "second"), (F.col("first_user") == F.col("second_user")) & near)
+    return pairs.select(F.col("first_user").alias("user_id"), "first_id", "second_id")
+
+
+def running(events: DataFrame) -> DataFrame:
+    """(user_id, n, last_id): each user's events so far and the latest of them (by time, then id), after each
+    batch that has some. What is kept of a user is three numbers."""
+    kept = "n long, last_ts long, last_id long"
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, *last = state.get if state.exists else (0, -(2**62), -(2**62))
+        for rows in batches:
+            n += len(rows)
+            last = max([tuple(last), *zip(rows["us"].tolist(), rows["event_id"].tolist(), strict=True)])
+        state.update((n, *last))
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "last_id": [last[1]]})
+
+    own = events.select("user_id", "event_id", F.unix_micros("ts").alias("us"))
+    return own.groupBy("user_id").applyInPandasWithState(step, "user_id long, n long, last_id long", kept, "update", GroupStateTimeout.NoTimeout)
+
+
 def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """All that a stream gives for what is there now, as a table: it runs to its end and stops. In append
     mode only windows that the watermark has closed are there."""
     spark = stream.sparkSession
-    spark.range(0).transform(cut)  # sets the shared folder where none is set
-    base = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/graphloom-stream-{uuid.uuid4().hex}"
+    base = shared_folder(spark, "graphloom-stream")
     kinds = stream.schema
 
     def put(batch: DataFrame, n: int) -> None:
