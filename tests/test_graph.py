@@ -252,3 +252,39 @@ def test_process_steps_spend_the_budget_while_expanding(spark, monkeypatch):
     for budget in (1, 3, 20):
         got = iterative.process_steps(graph_of(spark, some), 6, budget, entries).collect()
         assert sorted((tuple(r) for r in got), key=str) == (plain_steps(some, roots, 6, budget) if budget > 1 else [(r, 0, 0, None, r) for r in roots if any(a == r for a, b, _ in some)])
+
+
+def test_all_paths_take_halves_and_not_a_walk_for_every_pair(spark, monkeypatch):
+    def plain(steps, pairs, depth):
+        out = []
+
+        def walk(a, b, nodes, edges):
+            if nodes[-1] == b:
+                out.append((a, b, nodes, edges))
+            elif len(edges) < depth:
+                for src, dst, kind in steps:
+                    if src == nodes[-1] and dst not in nodes:
+                        walk(a, b, (*nodes, dst), (*edges, kind))
+
+        for a, b in pairs:
+            walk(a, b, (a,), ())
+        return sorted(out)
+
+    rng, names = random.Random(11), [f"n{i}" for i in range(9)]
+    edges = [(rng.choice(names), rng.choice(names), k) for k in ("e0", "e1") for _ in range(9)] + [("n0", "n1", "p"), ("n0", "n1", "q")]
+    pairs = [(a, b) for a in names[:4] for b in names if rng.random() < 0.6] + [("n0", "n0"), ("n0", "n1"), ("n0", "n1"), ("n8", "elsewhere")]
+    for both in (True, False):
+        ways = [(a, b, f"{a}{k}{b}") for a, b, k in edges] + [(b, a, f"{a}{k}{b}") for a, b, k in edges if both]
+        steps = spark.createDataFrame([(a, b, (a, b, k)) for a, b, k in ways], "src string, dst string, step struct<source:string,target:string,relationship:string>")
+        for depth in (1, 2, 5):
+            found = paths.all_paths(steps, spark.createDataFrame(pairs, "a string, b string"), depth).collect()
+            got = sorted((r.a, r.b, tuple(r.nodes), tuple(e.relationship for e in r.edges)) for r in found)
+            assert got == plain(ways, sorted(set(pairs)), depth)
+
+    written, cut = [], paths.cut
+    monkeypatch.setattr(paths, "cut", lambda df: [x := cut(df), written.append(x.count())][0])
+    star = [(f"a{i}", f"h{i % 5}") for i in range(30)] + [("h0", "m"), ("m", "b0")] + [(f"b{i}", f"k{i}") for i in range(30)]
+    steps = spark.createDataFrame([(x, y, (a, b, "E")) for a, b in star for x, y in ((a, b), (b, a))], steps.schema)
+    pairs = spark.createDataFrame([(f"a{i}", f"b{j}") for i in range(30) for j in range(30)], "a string, b string")
+    assert paths.all_paths(steps, pairs, 4).count() == 6
+    assert written.pop(1) == 900 and max(written) < 200  # the pairs; no step has a row for each of them
