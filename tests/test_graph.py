@@ -288,3 +288,33 @@ def test_all_paths_take_halves_and_not_a_walk_for_every_pair(spark, monkeypatch)
     pairs = spark.createDataFrame([(f"a{i}", f"b{j}") for i in range(30) for j in range(30)], "a string, b string")
     assert paths.all_paths(steps, pairs, 4).count() == 6
     assert written.pop(1) == 900 and max(written) < 200  # the pairs; no step has a row for each of them
+
+
+def test_centralities_of_what_hangs_on_the_rest(spark):
+    rng = random.Random(5)
+    pairs = {tuple(sorted((a, b))) for a, b, _ in random_edges(9, 12, 18) if a != b}
+    pairs |= {(f"n{rng.randrange(12):02}", f"t{i}") for i in range(6)} | {(f"t{rng.randrange(i)}", f"t{i}") for i in range(6, 16)}  # trees on some of them
+    pairs |= {("x0", "x1"), ("x1", "x2"), ("x2", "x3"), ("x3", "x0"), ("x3", "x4"), ("y0", "y1")}  # others: a ring with a tail, a pair
+    nodes = sorted({x for p in pairs for x in p})
+    w = spark.createDataFrame([(*p, 1.0) for p in sorted(pairs)], "u string, v string, weight double")
+    for sample in (nodes, nodes[::3], ["t15", "elsewhere"]):
+        own = [x for x in sample if x in nodes]
+        between, close = plain_centralities(pairs, own)
+        got = {r.node: r for r in iterative.shortest_path_centralities(w, None if sample is nodes else spark.createDataFrame([(x,) for x in sample], "node string")).collect()}
+        assert {k: r.betweenness for k, r in got.items()} == pytest.approx({k: x * len(nodes) / len(own) for k, x in between.items()})
+        assert {k: r.closeness for k, r in got.items()} == {k: pytest.approx(close[k]) if k in close else None for k in nodes}
+    assert iterative.shortest_path_centralities(w.limit(0)).collect() == []
+
+
+def test_centralities_of_trees_need_no_search(spark):
+    import time
+
+    chain, leaves = 2_500, 30_000  # a search from every node takes more than a minute
+    w = spark.range(chain - 1).selectExpr("'c' || id u", "'c' || (id + 1) v").unionByName(spark.range(leaves).selectExpr("'hub' u", "'l' || id v"))
+    began, n = time.monotonic(), chain + leaves + 1
+    got = {r.node: r for r in iterative.shortest_path_centralities(w).collect()}
+    assert time.monotonic() - began < 60 and len(got) == n
+    assert got["hub"].betweenness == pytest.approx(leaves * (leaves - 1) / (n - 1) / (n - 2)) and got["l7"].betweenness == 0
+    assert got["hub"].closeness == pytest.approx(leaves / (n - 1)) and got["l7"].closeness == pytest.approx(leaves / (2 * leaves - 1) * leaves / (n - 1))
+    assert [got[f"c{i}"].betweenness for i in range(chain)] == pytest.approx([2 * i * (chain - 1 - i) / (n - 1) / (n - 2) for i in range(chain)])
+    assert got["c0"].closeness == pytest.approx(2 / chain * (chain - 1) / (n - 1))
