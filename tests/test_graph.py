@@ -318,3 +318,13 @@ def test_centralities_of_trees_need_no_search(spark):
     assert got["hub"].closeness == pytest.approx(leaves / (n - 1)) and got["l7"].closeness == pytest.approx(leaves / (2 * leaves - 1) * leaves / (n - 1))
     assert [got[f"c{i}"].betweenness for i in range(chain)] == pytest.approx([2 * i * (chain - 1 - i) / (n - 1) / (n - 2) for i in range(chain)])
     assert got["c0"].closeness == pytest.approx(2 / chain * (chain - 1) / (n - 1))
+
+
+def test_centrality_report_breaks_ties_by_uid_and_not_by_rounding(spark):
+    from graphloom.operators import reports
+
+    g = graph_of(spark, [], ["a", "b", "c", "d", "e"])
+    values = spark.createDataFrame([("a", 0.1 + 0.2), ("b", 0.3), ("c", 0.1 + 0.1 + 0.1), ("d", 0.3000001), ("e", None)], "node string, betweenness double")
+    assert [r.uid for r in reports.centrality_report(values.where("node <> 'a'").unionByName(values.where("node = 'a'")), g.symbols, limit=5).collect()] == ["d", "a", "b", "c", "e"]
+    exact = spark.createDataFrame([("a", 0.3), ("b", 0.1 + 0.2)], values.schema)
+    assert [r.uid for r in reports.centrality_report(exact, g.symbols).collect()] == ["a", "b"]
