@@ -328,3 +328,12 @@ def test_centrality_report_breaks_ties_by_uid_and_not_by_rounding(spark):
     assert [r.uid for r in reports.centrality_report(values.where("node <> 'a'").unionByName(values.where("node = 'a'")), g.symbols, limit=5).collect()] == ["d", "a", "b", "c", "e"]
     exact = spark.createDataFrame([("a", 0.3), ("b", 0.1 + 0.2)], values.schema)
     assert [r.uid for r in reports.centrality_report(exact, g.symbols).collect()] == ["a", "b"]
+
+
+def test_centralities_take_the_pairs_of_a_gigabyte_of_tables(spark):
+    n = 2_151_481  # 60 copies of sf0.1 have 2,151,480 pairs; a bound of 2,000,000 refused them
+    w = spark.range(n - 1).selectExpr("'hub' u", "'l' || id v")
+    got = iterative.shortest_path_centralities(w).selectExpr("count(*)", "sum(betweenness)", "max(closeness)").first()
+    assert got[0] == n and got[1:] == (pytest.approx(1), pytest.approx(1))
+    with pytest.raises(ValueError, match="more than 4 pairs"):
+        iterative.shortest_path_centralities(w.limit(5), most_edges=4)
