@@ -337,3 +337,46 @@ def test_centralities_take_the_pairs_of_a_gigabyte_of_tables(spark):
     assert got[0] == n and got[1:] == (pytest.approx(1), pytest.approx(1))
     with pytest.raises(ValueError, match="more than 4 pairs"):
         iterative.shortest_path_centralities(w.limit(5), most_edges=4)
+
+
+def test_sources_passed_together_are_as_passed_one_by_one(spark):
+    import time
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+
+    def adjacency(pairs):
+        pairs = np.array(sorted({(min(p), max(p)) for p in pairs if p[0] != p[1]}))
+        tail, head = np.concatenate([pairs, pairs[:, ::-1]]).T
+        return np.concatenate([[0], np.cumsum(np.bincount(tail))]), head[np.lexsort((head, tail))].astype(np.int32)
+
+    tree = lambda n: [(i, int(rng.integers(i))) for i in range(1, n)]
+    more = lambda n, k: [(int(a), int(b)) for a, b in rng.integers(n, size=(k, 2))]
+    ring = lambda n: [(i, (i + 1) % n) for i in range(n)]
+    for pairs, k in ((tree(2), 2), (tree(9) + more(9, 5), 7), (tree(70) + more(70, 60), 70), (tree(200) + more(200, 900), 131), (ring(40), 5), (ring(2 * iterative.DEEP), 9), (ring(2 * iterative.DEEP + 2), 9), (tree(20_000) + more(20_000, 20_000), 5), (tree(70_000), 4)):
+        first, ends = adjacency(pairs)
+        n = len(first) - 1
+        size, own, times = rng.integers(1, 5, n).astype(float), np.sort(rng.permutation(n)[:k]), rng.integers(1, 4, k).astype(float)
+        between, total = iterative.sweeps(first, ends, size, own, times)
+        one = [iterative.sweep(first, ends, size, s) for s in own]
+        want = sum(t * share for t, (share, _) in zip(times, one, strict=True))
+        assert np.allclose(between, want, rtol=1e-12, atol=0) and list(total) == [t for _, t in one]
+        assert not between[want == 0].any()  # no rest of a rounding where no path passes
+
+    first, ends = adjacency(tree(6_000) + more(6_000, 5_000))  # 3.8 ms a source one by one, 1.2 together
+    size, own = np.ones(6_000), np.arange(64)
+    took = {}
+    for name, f in (("one", lambda: [iterative.sweep(first, ends, size, s) for s in own]), ("all", lambda: iterative.sweeps(first, ends, size, own, np.ones(64)))) * 3:
+        began = time.perf_counter()
+        f()
+        took[name] = min(took.get(name, 9.0), time.perf_counter() - began)
+    assert took["all"] < 0.75 * took["one"]
+
+    pairs = [(f"n{a:03}", f"n{b:03}") for a, b in tree(150) + more(150, 150) if a != b]
+    pairs += [(f"r{a:03}", f"r{b:03}") for a, b in ring(2 * iterative.DEEP + 6)] + [("x", "y"), ("y", "z"), ("x", "z")]
+    w = spark.createDataFrame([(min(p), max(p), 1.0) for p in set(map(frozenset, pairs)) for p in [tuple(p)]], "u string, v string, weight double")
+    nodes = {x for p in pairs for x in p}
+    between, close = plain_centralities([tuple(r)[:2] for r in w.collect()], sorted(nodes))
+    got = {r.node: r for r in iterative.shortest_path_centralities(w).collect()}
+    assert {k: r.betweenness for k, r in got.items()} == pytest.approx(between) and {k: r.closeness for k, r in got.items()} == pytest.approx(close)
